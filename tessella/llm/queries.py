@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.ngram_perplexity import op1_ngram_perplexity
 from tessella.llm.packing import op8_linear_grouping_packing
 from tessella.llm.token_store import op6_rans_token_files
+from tessella.llm.warc import OP7_SQL, op7_seekable_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_perplexity, op6_rans_token_files, op8_linear_grouping_packing)}
+    return {f.__name__: f for f in (op1_ngram_perplexity, op6_rans_token_files, op7_seekable_warc, op8_linear_grouping_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_seekable_warc": OP7_SQL}
