@@ -45,6 +45,7 @@ class WordIds:
     def _learn(self, new: pa.Array) -> None:
         if len(self.words) > self.memo:  # the half that was met last stays
             keep = np.sort(np.argsort(self.used, kind="stable")[len(self.words) // 2 :])
+            keep = np.union1d(keep, np.flatnonzero(self.used == self.turn))
             take, start = _csr(self.start[keep], np.diff(self.start)[keep])
             self.words, self.ids, self.start, self.used = self.words.take(pa.array(keep)), self.ids[take], start, self.used[keep]
         words = new.to_numpy(zero_copy_only=False).tolist()
@@ -86,6 +87,7 @@ class WordIds:
         self.turn += 1
         entry = pc.index_in(flat, value_set=self.words)
         if entry.null_count:
+            self.used[np.asarray(entry.drop_null()).astype(np.int64)] = self.turn
             self._learn(flat.filter(entry.is_null()).unique())
             entry = pc.index_in(flat, value_set=self.words)
         of_word = np.asarray(entry).astype(np.int64)
