@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at once; temporary arrays take about 60 times as much.
 SLICE_BYTES = 2 << 20
@@ -151,3 +152,20 @@ def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=c[1:])
     h = (c[ends] - c[starts]) * down[starts]
     return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+#: A key with over 1 / HOT_SHARE of all rows is hot; there are at most HOT_SHARE such keys, so they may be broadcast.
+HOT_SHARE = 256
+
+
+def join_by_count(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Left join of rows with a table of one row per key that counts the key's rows; hot keys are not shuffled.
+
+    rows and table are read twice each, so they should be written tables. The count column is left out.
+    """
+    values = [c for c in table.columns if c not in keys and c != count]
+    hot = F.broadcast(table.where(F.col(count) * HOT_SHARE > total).select(*keys, *values, F.lit(True).alias("_hot")))
+    marked = rows.join(hot, keys, "left")
+    cold = table.where(F.col(count) * HOT_SHARE <= total).select(*keys, *values)
+    left = marked.where("_hot is null").drop("_hot", *values).join(cold, keys, "left")
+    return left.unionByName(marked.where("_hot is not null").drop("_hot"))

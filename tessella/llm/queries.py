@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.near_duplicates import OP10_SQL, op10_minhash_hamming_join
 from tessella.llm.ngram_perplexity import op1_ngram_perplexity
 from tessella.llm.packing import op8_linear_grouping_packing
 from tessella.llm.token_store import op6_rans_token_files
@@ -14,8 +15,8 @@ from tessella.llm.warc import OP7_SQL, op7_seekable_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_perplexity, op6_rans_token_files, op7_seekable_warc, op8_linear_grouping_packing, op9_class_kneser_ney)}
+    return {f.__name__: f for f in (op1_ngram_perplexity, op6_rans_token_files, op7_seekable_warc, op8_linear_grouping_packing, op9_class_kneser_ney, op10_minhash_hamming_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_seekable_warc": OP7_SQL}
+    return {"op7_seekable_warc": OP7_SQL, "op10_minhash_hamming_join": OP10_SQL}
