@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.near_duplicates import OP10_SQL, op10_minhash_hamming_join
 from tessella.llm.ngram_perplexity import op1_ngram_perplexity
 from tessella.llm.packing import op8_linear_grouping_packing
+from tessella.llm.secret_scan import op3_zstd_novelty_secrets
 from tessella.llm.token_store import op6_rans_token_files
 from tessella.llm.toxicity import op9_class_kneser_ney
 from tessella.llm.warc import OP7_SQL, op7_seekable_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_perplexity, op6_rans_token_files, op7_seekable_warc, op8_linear_grouping_packing, op9_class_kneser_ney, op10_minhash_hamming_join)}
+    return {f.__name__: f for f in (op1_ngram_perplexity, op3_zstd_novelty_secrets, op6_rans_token_files, op7_seekable_warc, op8_linear_grouping_packing, op9_class_kneser_ney, op10_minhash_hamming_join)}
 
 
 def oracle_sql() -> dict[str, str]:
