@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.chat_format import OP2_SQL, op2_perspective_rotation
 from tessella.llm.near_duplicates import OP10_SQL, op10_minhash_hamming_join
 from tessella.llm.ngram_perplexity import op1_ngram_perplexity
 from tessella.llm.packing import op8_linear_grouping_packing
@@ -16,8 +17,8 @@ from tessella.llm.warc import OP7_SQL, op7_seekable_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_perplexity, op3_zstd_novelty_secrets, op6_rans_token_files, op7_seekable_warc, op8_linear_grouping_packing, op9_class_kneser_ney, op10_minhash_hamming_join)}
+    return {f.__name__: f for f in (op1_ngram_perplexity, op2_perspective_rotation, op3_zstd_novelty_secrets, op6_rans_token_files, op7_seekable_warc, op8_linear_grouping_packing, op9_class_kneser_ney, op10_minhash_hamming_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_seekable_warc": OP7_SQL, "op10_minhash_hamming_join": OP10_SQL}
+    return {"op2_perspective_rotation": OP2_SQL, "op7_seekable_warc": OP7_SQL, "op10_minhash_hamming_join": OP10_SQL}
