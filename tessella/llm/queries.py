@@ -13,11 +13,17 @@ from tessella.llm.packing import op8_linear_grouping_packing
 from tessella.llm.secret_scan import op3_zstd_novelty_secrets
 from tessella.llm.token_store import op6_rans_token_files
 from tessella.llm.toxicity import op9_class_kneser_ney
+from tessella.llm.viterbi_tokens import op5_batched_viterbi
 from tessella.llm.warc import OP7_SQL, op7_seekable_warc
+from tessella.llm.winnowing import op4_winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_perplexity, op2_perspective_rotation, op3_zstd_novelty_secrets, op6_rans_token_files, op7_seekable_warc, op8_linear_grouping_packing, op9_class_kneser_ney, op10_minhash_hamming_join)}
+    ops = (
+        op1_ngram_perplexity, op2_perspective_rotation, op3_zstd_novelty_secrets, op4_winnowing, op5_batched_viterbi,
+        op6_rans_token_files, op7_seekable_warc, op8_linear_grouping_packing, op9_class_kneser_ney, op10_minhash_hamming_join,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:

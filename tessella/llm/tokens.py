@@ -30,25 +30,58 @@ def _csr(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(start - ends[:-1], size) + np.arange(ends[-1]), ends
 
 
-class WordIds:
+class WordMemo:
+    """Ids of words, kept in the worker; solve() gives those of new ones."""
+
+    def __init__(self, memo: int = MEMO):
+        self.memo, self.turn = memo, 0
+        self.words, self.ids, self.start, self.used = pa.array([], pa.large_string()), np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def solve(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in some order, their flat ids and numbers of ids."""
+        raise NotImplementedError
+
+    def _learn(self, new: pa.Array) -> None:
+        if len(self.words) > self.memo:  # the half that was met last stays, and all that this batch has met
+            keep = np.sort(np.argsort(self.used, kind="stable")[len(self.words) // 2 :])
+            keep = np.union1d(keep, np.flatnonzero(self.used == self.turn))
+            take, start = _csr(self.start[keep], np.diff(self.start)[keep])
+            self.words, self.ids, self.start, self.used = self.words.take(pa.array(keep)), self.ids[take], start, self.used[keep]
+        words, flat, size = self.solve(new.to_numpy(zero_copy_only=False).tolist())
+        if len(flat) and flat.max() > 0xFFFF:
+            raise ValueError("ids over 65535 need a wider memo")
+        self.words = pa.concat_arrays([self.words, pa.array(words, pa.large_string())])
+        self.ids = np.concatenate([self.ids, flat.astype(np.uint16)])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
+        self.used = np.concatenate([self.used, np.full(len(words), self.turn, np.int64)])
+
+    def lookup(self, flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and offsets of words one after another."""
+        self.turn += 1
+        entry = pc.index_in(flat, value_set=self.words)
+        if entry.null_count:
+            self.used[np.asarray(entry.drop_null()).astype(np.int64)] = self.turn
+            self._learn(flat.filter(entry.is_null()).unique())
+            entry = pc.index_in(flat, value_set=self.words)
+        of_word = np.asarray(entry).astype(np.int64)
+        self.used[of_word] = self.turn
+        take, ends = _csr(self.start[of_word], self.start[of_word + 1] - self.start[of_word])
+        return self.ids[take], ends
+
+
+class WordIds(WordMemo):
     """Encodes Arrow string arrays; ids equal those of the library on the whole texts."""
 
     def __init__(self, path: str, memo: int = MEMO):
+        super().__init__(memo)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.lib, self.memo, self.turn = Tokenizer.from_file(path), memo, 0
+        self.lib = Tokenizer.from_file(path)
         self.ends_word = np.zeros(1 << 16, bool)
         self.ends_word[[i for t, i in self.lib.get_vocab().items() if t.endswith("</w>") and i < 1 << 16]] = True
-        self.words, self.ids, self.start, self.used = pa.array([], pa.large_string()), np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, new: pa.Array) -> None:
-        if len(self.words) > self.memo:  # the half that was met last stays
-            keep = np.sort(np.argsort(self.used, kind="stable")[len(self.words) // 2 :])
-            keep = np.union1d(keep, np.flatnonzero(self.used == self.turn))
-            take, start = _csr(self.start[keep], np.diff(self.start)[keep])
-            self.words, self.ids, self.start, self.used = self.words.take(pa.array(keep)), self.ids[take], start, self.used[keep]
-        words = new.to_numpy(zero_copy_only=False).tolist()
+    def solve(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         plain = [w for w in words if w.isalpha()]  # one token group each, whose last id ends a word
         other = [w for w in words if not w.isalpha()]
         ids, size = [], []
@@ -68,13 +101,7 @@ class WordIds:
             each = [y.ids for y in self.lib.encode_batch_fast(other[lo : lo + 4096], add_special_tokens=False)]
             ids.append(np.array([i for y in each for i in y], np.int64))
             size.append(np.array([len(y) for y in each], np.int64))
-        flat, size, new = np.concatenate(ids), np.concatenate(size), pa.array(plain + other, pa.large_string())
-        if len(flat) and flat.max() > 0xFFFF:
-            raise ValueError("ids over 65535 need a wider memo")
-        self.words = pa.concat_arrays([self.words, new])
-        self.ids = np.concatenate([self.ids, flat.astype(np.uint16)])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
-        self.used = np.concatenate([self.used, np.full(len(new), self.turn, np.int64)])
+        return plain + other, np.concatenate(ids), np.concatenate(size)
 
     def _encode(self, texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
         # a mark alone between a letter and a blank is a token of its own in any case
@@ -84,16 +111,8 @@ class WordIds:
         split = pc.ascii_split_whitespace(texts)
         bounds = np.asarray(split.offsets).astype(np.int64)
         flat = split.values.slice(bounds[0], bounds[-1] - bounds[0])
-        self.turn += 1
-        entry = pc.index_in(flat, value_set=self.words)
-        if entry.null_count:
-            self.used[np.asarray(entry.drop_null()).astype(np.int64)] = self.turn
-            self._learn(flat.filter(entry.is_null()).unique())
-            entry = pc.index_in(flat, value_set=self.words)
-        of_word = np.asarray(entry).astype(np.int64)
-        self.used[of_word] = self.turn
-        take, ends = _csr(self.start[of_word], self.start[of_word + 1] - self.start[of_word])
-        return self.ids[take], ends[bounds - bounds[0]]
+        ids, ends = self.lookup(flat)
+        return ids, ends[bounds - bounds[0]]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids (uint16) and offsets by text; nulls are empty texts."""

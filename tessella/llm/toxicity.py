@@ -206,5 +206,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """docs without those that score 0.5 or more; all columns as they are, no shuffle."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    shared, at = spark.sparkContext.broadcast(fit(docs, labels)), docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            b, off = common.text_buffer(batch.column(at))
+            s = [shared.value.score(b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in common.groups(off)]
+            yield batch.filter(pa.array(np.concatenate(s) < 0.5 if s else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(spark.read.parquet(common.table_path(sf_dir, "documents")), spark.read.parquet(common.table_path(sf_dir, "labels")))
