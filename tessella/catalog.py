@@ -490,3 +490,8 @@ def mutate_rows(spark, sf_dir):
     kind = "kind string, n_nationkey int, values map<string,string>, expected map<string,string>"
     rows = [("update", 3, {"n_name": "CA"}, {"n_regionkey": str(n.where("n_nationkey = 3").first().n_regionkey)}), ("update", 4, {"n_name": "no"}, {"n_name": "someone else's"}), ("delete", 5, {}, {}), ("insert", 99, {"n_name": "ATLANTIS", "n_regionkey": "1"}, None), ("insert", 1, {"n_name": "no"}, None)]
     return mutate.mutate(n, spark.createDataFrame(rows, kind), "n_nationkey")[0]
+
+
+def load() -> None:
+    """Register the queries of the other modules too."""
+    from tessella import formula_queries  # noqa: F401
