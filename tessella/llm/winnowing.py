@@ -27,6 +27,8 @@ SPAN = K + WINDOW - 1
 PLACE_BITS = 13
 HASH_BITS = 63 - PLACE_BITS
 _LAST = (1 << PLACE_BITS) - 1
+#: Ranges of doc_id for each shuffle partition, more than one so that hashing evens them out.
+RANGES = 4
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -129,12 +131,16 @@ def with_next(docs: DataFrame, body: Callable[[DataFrame], DataFrame], columns:
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    ranges = d.select("at").repartitionByRange("at").groupBy(F.spark_partition_id().alias("p")).agg(F.min("at").alias("least"))
-    bounds = sorted(r.least for r in ranges.collect())
-    bounds = bounds or [0]
-    table = F.broadcast(spark.createDataFrame([(k, b, bounds[k + 1] if k + 1 < len(bounds) else None) for k, b in enumerate(bounds)], "block int, low long, high long"))
-    inside = (F.col("at") >= F.col("low")) & (F.col("high").isNull() | (F.col("at") < F.col("high")))
-    own = d.join(table, inside)
+    n_ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = d.select("at").repartitionByRange(n_ranges, "at").groupBy(F.spark_partition_id().alias("p")).agg(F.min("at").alias("least"))
+    bounds = sorted({r.least for r in ranges.collect()}) or [0]
+    # a range is found in two steps of about sqrt(ranges) comparisons, by arrays in a single broadcast row
+    step = max(1, round(len(bounds) ** 0.5))
+    parts = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    table = F.broadcast(spark.createDataFrame([([p[0] for p in parts], parts)], "heads array<bigint>, parts array<array<bigint>>"))
+    at_most = lambda values: F.size(F.filter(values, lambda v: v <= F.col("at"))) - 1
+    own = d.crossJoin(table).withColumn("part", at_most(F.col("heads"))).withColumn("own", F.get("parts", F.col("part"))).withColumn("nth", at_most(F.col("own")))
+    own = own.select("doc_id", "text", "at", (F.col("part") * step + F.col("nth")).alias("block"), F.get("own", F.col("nth")).alias("low"))
     n = len(bounds)
     place = lambda block, turn, copy: F.struct(block.alias("block"), F.lit(turn).alias("turn"), F.lit(copy).alias("copy"))
     edge = F.col("at") == F.col("low")
