@@ -95,8 +95,8 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
     return b"".join(out)
 
 
-def decode_run(states: np.ndarray, words: np.ndarray, steps: int, table: Table) -> np.ndarray:
-    """The ids of steps steps from a checkpoint's states and the words that follow it."""
+def decode_run(states: np.ndarray, words: np.ndarray, steps: int, table: Table) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of steps steps from a checkpoint's states and the words that follow it, and the states then."""
     x, at, lanes = states.astype(np.uint64), 0, len(states)
     out = np.empty((steps, lanes), np.uint32)
     mask, shift, low, half = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(LOW), np.uint64(32)
@@ -108,7 +108,7 @@ def decode_run(states: np.ndarray, words: np.ndarray, steps: int, table: Table)
         need = np.flatnonzero(x < low)
         x[need] = (x[need] << half) | words[at : at + len(need)]
         at += len(need)
-    return out.reshape(-1)
+    return out.reshape(-1), x
 
 
 def decode_block(data: memoryview, at: int, table: Table) -> tuple[np.ndarray, int]:
@@ -123,8 +123,10 @@ def decode_block(data: memoryview, at: int, table: Table) -> tuple[np.ndarray, i
     words = np.frombuffer(data, "<u4", sent, at).astype(np.uint64)
     steps, parts = -(-n // lanes), []
     for k, (before, crc, states) in enumerate(heads):
-        part = decode_run(states, words[before:], min(CHECK, steps - k * CHECK), table)[: n - k * CHECK * lanes]
-        if zlib.crc32(part) != crc:
+        part, then = decode_run(states, words[before:], min(CHECK, steps - k * CHECK), table)
+        part = part[: n - k * CHECK * lanes]
+        # the coder began where the decoder ends: at the next checkpoint's states, or at LOW
+        if zlib.crc32(part) != crc or (then != (heads[k + 1][2] if k + 1 < len(heads) else LOW)).any():
             raise ValueError(f"checksum of checkpoint {k} differs")
         parts.append(part)
     return np.concatenate(parts), at + 4 * sent
