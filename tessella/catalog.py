@@ -136,7 +136,7 @@ def sort_nulls_last(spark, sf_dir):
 
     sort = [{"columnId": "status", "direction": "asc"}, {"columnId": "o_totalprice", "direction": "desc"}]
     d = ordering.apply_sort(_nulled(spark, sf_dir), sort, "o_orderkey").limit(500)
-    return d.withColumn("pos", F.row_number().over(W.orderBy(*ordering.order_columns(sort, "o_orderkey"))))
+    return d.withColumn("pos", F.row_number().over(W.orderBy(*ordering.order_columns(sort, "o_orderkey"))).cast("long"))
 
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY c_name DESC, o_orderkey DESC LIMIT 1000")
@@ -236,9 +236,9 @@ def distinct_values(spark, sf_dir):
     return aggregate.distinct_values(table(spark, sf_dir, "events"), "event_type")
 
 
-@query('SELECT count(x) AS "count", round(sum(x), 2) AS "sum", round(avg(x), 6) AS "avg", min(x) AS "min", max(x) AS "max" FROM (SELECT l_quantity AS x FROM lineitem UNION ALL SELECT l_tax FROM lineitem)')
+@query('SELECT count(x) AS "count", round(sum(x), 2) AS "sum", round(avg(x), 3) AS "avg", min(x) AS "min", max(x) AS "max" FROM (SELECT l_quantity AS x FROM lineitem UNION ALL SELECT l_tax FROM lineitem)')
 def selection_summary(spark, sf_dir):
-    return aggregate.selection_summary(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"]).withColumns({"sum": F.round("sum", 2), "avg": F.round("avg", 6)})
+    return aggregate.selection_summary(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"]).withColumns({"sum": F.round("sum", 2), "avg": F.round("avg", 3)})
 
 
 @query('SELECT l_suppkey & 15 AS "key", sum(l_quantity) AS "sum", count(*) AS "count" FROM lineitem GROUP BY 1')
@@ -368,7 +368,7 @@ def asof_forward(spark, sf_dir):
     return _asof(spark, sf_dir, "forward")
 
 
-@query("SELECT e.event_id, b.lo FROM events e JOIN (SELECT x * 10.0 AS lo, x * 10.0 + 4.0 AS hi FROM range(0, 50) t(x)) b ON e.value >= b.lo AND e.value < b.hi")
+@query("SELECT e.event_id, b.lo FROM events e JOIN (SELECT (x * 10.0)::DOUBLE AS lo, (x * 10.0 + 4.0)::DOUBLE AS hi FROM range(0, 50) t(x)) b ON e.value >= b.lo AND e.value < b.hi")
 def range_join(spark, sf_dir):
     bands = spark.range(50).select((F.col("id") * F.lit(10.0)).alias("lo"), (F.col("id") * F.lit(10.0) + 4.0).alias("hi"))
     return joins.range_join(table(spark, sf_dir, "events"), bands, "value", "lo", "hi", 10.0).select("event_id", "lo")

@@ -29,10 +29,10 @@ def formula_text(spark, sf_dir):
     return _add(table(spark, sf_dir, "part"), f, ["p_partkey"])
 
 
-@query("""SELECT o_orderkey, year(o_orderdate)::DOUBLE AS y, month(o_orderdate)::DOUBLE AS m, isodow(o_orderdate)::DOUBLE AS wd, last_day(o_orderdate::DATE) AS eom, datediff('day', o_orderdate::DATE, DATE '2000-01-01')::DOUBLE AS age, weekofyear(o_orderdate)::DOUBLE AS wk FROM orders""")
+@query("""SELECT o_orderkey, year(o_orderdate)::DOUBLE AS y, month(o_orderdate)::DOUBLE AS m, isodow(o_orderdate)::DOUBLE AS wd, last_day(o_orderdate::DATE)::VARCHAR AS eom, datediff('day', o_orderdate::DATE, DATE '2000-01-01')::DOUBLE AS age, weekofyear(o_orderdate)::DOUBLE AS wk FROM orders""")
 def formula_dates(spark, sf_dir):
     f = {"y": "YEAR([@o_orderdate])", "m": "MONTH([@o_orderdate])", "wd": "WEEKDAY([@o_orderdate],2)", "eom": "EOMONTH([@o_orderdate],0)", "age": "DAYS(DATE(2000,1,1),[@o_orderdate])", "wk": "ISOWEEKNUM([@o_orderdate])"}
-    return _add(table(spark, sf_dir, "orders"), f, ["o_orderkey"])
+    return _add(table(spark, sf_dir, "orders"), f, ["o_orderkey"]).withColumn("eom", F.col("eom").cast("string"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'small' END AS size, o_orderstatus = 'F' OR o_totalprice < 1000 AS flag,
@@ -84,7 +84,7 @@ def formula_arrays(spark, sf_dir):
     return _add(table(spark, sf_dir, "embeddings"), f, ["vec_id"], 4)
 
 
-@query("""SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' WHEN 3 THEN 'd' ELSE 'none' END AS letter, (n_nationkey % 5 + 1) * 10.0 AS tens, CASE WHEN n_nationkey >= 20 THEN 3.0 WHEN n_nationkey >= 10 THEN 2.0 ELSE 1.0 END AS band FROM nation""")
+@query("""SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' WHEN 3 THEN 'd' ELSE 'none' END AS letter, ((n_nationkey % 5 + 1) * 10.0)::DOUBLE AS tens, (CASE WHEN n_nationkey >= 20 THEN 3.0 WHEN n_nationkey >= 10 THEN 2.0 ELSE 1.0 END)::DOUBLE AS band FROM nation""")
 def formula_lookup(spark, sf_dir):
     f = {"letter": 'XLOOKUP([@n_regionkey],{0,1,2,3},{"a","b","c","d"},"none")', "tens": "INDEX({10,20,30,40,50},MOD([@n_nationkey],5)+1)", "band": "LOOKUP([@n_nationkey],{0,10,20},{1,2,3})"}
     return _add(table(spark, sf_dir, "nation"), f, ["n_nationkey"])
