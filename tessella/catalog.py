@@ -494,4 +494,4 @@ def mutate_rows(spark, sf_dir):
 
 def load() -> None:
     """Register the queries of the other modules too."""
-    from tessella import formula_queries  # noqa: F401
+    from tessella import formula_queries, stream_queries  # noqa: F401
