@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at once; temporary arrays take about 60 times as much.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -80,8 +80,9 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def groups(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def groups(off: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes each; a longer row comes alone."""
+    limit = limit or SLICE_BYTES
     lo, n = 0, len(off) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
@@ -143,6 +144,38 @@ def words_of(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
+def pieces(b: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of about limit bytes of one long text, cut after a blank so that no word is split."""
+    limit = limit or SLICE_BYTES
+    lo = 0
+    while lo < len(b):
+        hi = min(lo + limit, len(b))
+        while hi < len(b) and not _SPACE[b[hi - 1]]:
+            ahead = np.flatnonzero(_SPACE[b[hi : hi + limit]])
+            hi = hi + int(ahead[0]) + 1 if len(ahead) else min(hi + limit, len(b))
+        yield lo, hi
+        lo = hi
+
+
+def hashed_words(b: np.ndarray, off: np.ndarray, trim=None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and row numbers of the words of rows in one buffer; trim(b, starts, ends) may narrow them.
+
+    A row far over SLICE_BYTES comes alone and is hashed piece by piece, so what it takes is its words' hashes.
+    """
+    if len(off) == 2 and len(b) > 2 * SLICE_BYTES:
+        parts = [hashed_words(b[lo:hi], np.array([0, hi - lo]), trim)[0] if hi - lo <= 2 * SLICE_BYTES else _one_piece(b[lo:hi], np.array([0, hi - lo]), trim)[0] for lo, hi in pieces(b)]
+        h = np.concatenate(parts)
+        return h, np.zeros(len(h), np.int64)
+    return _one_piece(b, off, trim)
+
+
+def _one_piece(b: np.ndarray, off: np.ndarray, trim) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends, row = words_of(b, off)
+    if trim is not None:
+        trim(b, starts, ends)
+    return word_hashes(b, starts, ends), row
+
+
 def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of b[start:end], equal for equal bytes wherever they stand."""
     if not len(starts):

@@ -61,16 +61,36 @@ def gram_keys(b: np.ndarray, off: np.ndarray) -> np.ndarray:
     return key
 
 
+def key_parts(b: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
+    """gram_keys of rows in one buffer, of a long text part by part."""
+    step = 2 * common.SLICE_BYTES
+    if len(off) > 2 or len(b) <= step:
+        yield gram_keys(b, off)
+        return
+    for lo in range(0, len(b), step):
+        back = min(lo, ORDER - 1)
+        part = b[lo - back : lo + step]
+        yield gram_keys(part, np.array([0, len(part)]))[back:]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held, most = 0, 1 << 21
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in parts] or [np.zeros(0, np.uint32)]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([c for _, c in parts] or [np.zeros(0)]), len(keys)).astype(np.int64)
+
     for batch in batches:
         b, off = common.text_buffer(batch.column(0))
-        for lo, hi in common.groups(off):
-            k = gram_keys(b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            u, c = np.unique(k, return_counts=True)
-            both = np.concatenate([keys, u])
-            keys, at = np.unique(both, return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, c]), len(keys)).astype(np.int64)
+        for k in (k for lo, hi in common.groups(off) for k in key_parts(b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])):
+            parts.append(np.unique(k, return_counts=True))
+            held += len(parts[-1][0])
+            if held > most:
+                parts[:] = [merged()]
+                held = len(parts[0][0])
+                most = max(most, 2 * held)
+    keys, counts = merged()
     yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["key", "n"])
 
 
@@ -146,10 +166,16 @@ _SYM[list(SYMBOLS)] = 1
 def base_stats(b: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_repeat_words of each row of a buffer."""
     n = len(off) - 1
-    starts, ends, row = common.words_of(b, off)
-    solid = ~common._SPACE[b] & ((b & 0xC0) != 0x80)
-    out = {"n_words": np.bincount(row, minlength=n), "word_chars": common.seg_sum(solid, off), "n_symbols": common.seg_sum(_SYM[b], off), "n_repeat_words": np.zeros(n, np.int64)}
-    h = common.word_hashes(b, starts, ends)
+    h, row = common.hashed_words(b, off)
+    chars, marks = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if n == 1:
+        for lo in range(0, len(b), common.SLICE_BYTES):
+            part = b[lo : lo + common.SLICE_BYTES]
+            chars[0] += int((~common._SPACE[part] & ((part & 0xC0) != 0x80)).sum())
+            marks[0] += int(_SYM[part].sum())
+    else:
+        chars, marks = common.seg_sum(~common._SPACE[b] & ((b & 0xC0) != 0x80), off), common.seg_sum(_SYM[b], off)
+    out = {"n_words": np.bincount(row, minlength=n), "word_chars": chars, "n_symbols": marks, "n_repeat_words": np.zeros(n, np.int64)}
     if len(h) >= WINDOW:
         w = h[: len(h) - WINDOW + 1].copy()
         for j in range(1, WINDOW):
@@ -191,7 +217,9 @@ def _scorer(model, keep: list[str]):
             for lo, hi in common.groups(off):
                 x, o = b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 s = base_stats(x, o)
-                s["loglik"] = common.seg_sum(kn.score(gram_keys(x, o)).astype(np.float64), o)
+                long = len(o) == 2  # one text, maybe in parts
+                scores = (kn.score(k).astype(np.float64) for k in key_parts(x, o))
+                s["loglik"] = np.array([sum(float(v.sum()) for v in scores)]) if long else common.seg_sum(next(scores), o)
                 s["n_bytes"] = np.diff(o)
                 parts.append(s)
             cat = {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "loglik", "n_bytes")}

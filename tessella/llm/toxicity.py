@@ -34,16 +34,18 @@ _STRIP = np.zeros(256, bool)
 _STRIP[list(b".,;:!?\"'()[]{}*#$%&|<>-_~`^/\\+=")] = True
 
 
-def word_keys(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and row numbers of the words, ASCII letters lowered, marks at either end left out."""
-    low = np.where((b >= 65) & (b <= 90), b | 32, b).astype(np.uint8)
-    s, e, row = common.words_of(b, off)
+def _trim(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+    """Leave out up to four marks at either end of each word."""
     for _ in range(4):
         at = np.flatnonzero((s < e - 1) & _STRIP[low[s]])
         s[at] += 1
         at = np.flatnonzero((s < e - 1) & _STRIP[low[e - 1]])
         e[at] -= 1
-    return common.word_hashes(low, s, e), row
+
+
+def word_keys(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and row numbers of the words, ASCII letters lowered, marks at either end left out."""
+    return common.hashed_words(np.where((b >= 65) & (b <= 90), b | 32, b).astype(np.uint8), off, _trim)
 
 
 def pair_keys(h: np.ndarray, row: np.ndarray) -> np.ndarray:

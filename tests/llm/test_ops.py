@@ -554,6 +554,33 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+# ---- long texts ----
+
+
+def test_long_texts_in_pieces(texts, monkeypatch):
+    """What is done piece by piece equals what is done at once."""
+    col = pa.array([*texts, "y" * 3000, prose(random.Random(1), 900)])
+    b, off = common.text_buffer(col)
+
+    def everything():
+        out = []
+        model = ngram_perplexity.KneserNey(*np.unique(ngram_perplexity.gram_keys(b, off), return_counts=True))
+        for lo, hi in common.groups(off):
+            x, o = b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+            s = ngram_perplexity.base_stats(x, o)
+            keys = np.concatenate(list(ngram_perplexity.key_parts(x, o)))
+            h, row = toxicity.word_keys(x, o)
+            sets, at = near_duplicates.shingle_sets(x, o)
+            for i in range(hi - lo):
+                own = keys[o[i] : o[i + 1]] if hi - lo > 1 else keys
+                out.append(([int(s[k][i]) for k in sorted(s)], own.tolist(), float(model.score(own).sum()), h[row == i].tolist(), sets[at[i] : at[i + 1]].tolist()))
+        return out
+
+    whole = everything()
+    monkeypatch.setattr(common, "SLICE_BYTES", 200)
+    assert everything() == whole
+
+
 # ---- pipeline ----
 
 
