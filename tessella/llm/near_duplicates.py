@@ -42,8 +42,7 @@ _TIMES = _RNG.integers(0, 1 << 32, PARTS, dtype=np.uint32) | np.uint32(1)
 def shingle_sets(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, row after row and ascending within a row, and the rows' offsets."""
     low = np.where((b >= 65) & (b <= 90), b | 32, b).astype(np.uint8)
-    s, e, row = common.words_of(low, off)
-    h, n = common.word_hashes(low, s, e), len(off) - 1
+    (h, row), n = common.hashed_words(low, off), len(off) - 1
     words = np.bincount(row, minlength=n)
     x = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
     for j in range(SHINGLE):
@@ -282,7 +281,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     names = ["k1", "k2", "n_shingles"]
     classes = common.materialize(known.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sig")
-    keys = reps.select("doc_id", "sig").mapInArrow(_keys, "key long, id long")
+    # a signature of 126 bytes becomes as many rows, so their number, not the table's size, says how many tasks are due
+    keys = reps.select("doc_id", "sig").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_keys, "key long, id long")
     shared = common.materialize(keys.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("last")).where("m < last").select("key", "m"), "shared")
     ties = common.materialize(keys.join(shared, "key").where("id <> m").select("id", "m").distinct(), "ties")
     clusters = common.materialize(components(ties, "id", "m").withColumnRenamed("component", "cluster").join(reps.select(F.col("doc_id").alias("id"), "n_shingles"), "id"), "clusters")
