@@ -60,11 +60,17 @@ def invert(log: DataFrame, low: int, high: int) -> DataFrame:
     return prior.select(undo.alias("kind"), "pkey", fields.alias("fields"), F.col("version").alias("undo_of")).orderBy(F.desc("undo_of"))
 
 
-def gaps(log: DataFrame, base: int = -1) -> DataFrame:
-    """(after, before) for each hole in the versions: diffs between them are missing."""
-    v = log.select("version").distinct()
-    d = v.withColumn("after", F.lag("version", 1, base).over(W.orderBy("version")))
-    return d.where((F.col("version") - F.col("after") > 1) & ~((F.col("after") == base) & F.lit(base == -1))).select("after", F.col("version").alias("before"))
+def gaps(log: DataFrame, base: int = -1, width: int = 1_000_000) -> DataFrame:
+    """(after, before) for each hole in the versions: diffs between them are missing; base -1 takes any first version.
+
+    Versions are compared within ranges of width; only the ranges' last versions are put in one order.
+    """
+    v = log.select("version").distinct().withColumn("range", F.floor(F.col("version") / width))
+    tops = v.groupBy("range").agg(F.max("version").alias("top"))
+    carried = tops.select("range", F.lag("top").over(W.orderBy("range")).alias("carried"))
+    d = v.join(carried, "range").withColumn("after", F.coalesce(F.lag("version").over(W.partitionBy("range").orderBy("version")), F.col("carried"), F.lit(base)))
+    first = F.lit(base == -1) & (F.col("after") == base)
+    return d.where((F.col("version") - F.col("after") > 1) & ~first).select("after", F.col("version").alias("before"))
 
 
 def retain(log: DataFrame, from_version: int) -> DataFrame:

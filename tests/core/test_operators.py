@@ -179,6 +179,7 @@ def test_time_travel(log):
     assert undo == [("delete", "a", None), ("update", "b", {}), ("insert", "a", {"x": "2", "y": "1"})]
     assert temporal.resync(log, 4)[0] == "replay" and temporal.resync(log, 0, limit=3)[0] == "snapshot"
     assert temporal.gaps(log.where("version <> 3")).collect() == [(2, 4)]
+    assert sorted(temporal.gaps(log.where("version not in (1, 3, 4)"), base=0, width=2).collect()) == [(0, 2), (2, 5)]
 
 
 def test_mutations(spark):
