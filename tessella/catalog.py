@@ -351,11 +351,11 @@ r AS (SELECT user_id, ts, max(struct_pack(value := value, event_id := event_id))
 SELECT l.event_id, l.user_id, l.ts, {pick}(r.v.value, r.ts) AS value, {pick}(r.v.event_id, r.ts) AS click FROM l LEFT JOIN r ON l.user_id = r.user_id AND r.ts {sign} l.ts GROUP BY 1, 2, 3"""
 
 
-def _asof(spark, sf_dir, direction):
+def _asof(spark, sf_dir, direction, **more):
     e = table(spark, sf_dir, "events")
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     right = e.where("event_type = 'click'").select("user_id", "ts", "value", F.col("event_id").alias("click"))
-    return joins.asof(left, right, "ts", ["user_id"], ["value", "click"], direction)
+    return joins.asof(left, right, "ts", ["user_id"], ["value", "click"], direction, **more)
 
 
 @query(_ASOF.format(pick="arg_max", sign="<="))
@@ -368,6 +368,16 @@ def asof_forward(spark, sf_dir):
     return _asof(spark, sf_dir, "forward")
 
 
+@query(_ASOF.format(pick="arg_max", sign="<="))
+def asof_backward_ranges(spark, sf_dir):
+    return _asof(spark, sf_dir, "backward", width=86_400_000_000 * 7)
+
+
+@query(_ASOF.format(pick="arg_min", sign=">="))
+def asof_forward_ranges(spark, sf_dir):
+    return _asof(spark, sf_dir, "forward", width=86_400_000_000 * 7)
+
+
 @query("SELECT e.event_id, b.lo FROM events e JOIN (SELECT (x * 10.0)::DOUBLE AS lo, (x * 10.0 + 4.0)::DOUBLE AS hi FROM range(0, 50) t(x)) b ON e.value >= b.lo AND e.value < b.hi")
 def range_join(spark, sf_dir):
     bands = spark.range(50).select((F.col("id") * F.lit(10.0)).alias("lo"), (F.col("id") * F.lit(10.0) + 4.0).alias("hi"))

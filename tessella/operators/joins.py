@@ -42,21 +42,33 @@ def lookup_exact(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return left.join(one, left[left_key] == one["__k__"], "left").select(*[left[c] for c in left.columns], *[F.col("__v__")[v].alias(v) for v in values])
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], direction: str = "backward", strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], direction: str = "backward", strict: bool = False, width: float | None = None) -> DataFrame:
     """left with the values of the nearest row of right by on: the largest at or below (backward), the smallest at or
     above (forward); equal ones count unless strict. Ties of right take its greatest values.
 
     Both sides are sorted together by a window over `by`; rows of right are first reduced to one per key and time.
+    With a width (of a number, or of microseconds for times), a key is cut into ranges of it, each a partition of its
+    own, and the last value before a range is carried in: for no `by`, or keys with very many rows.
     """
     back = direction == "backward"
-    r = right.groupBy(*by, on).agg(F.max(F.struct(*values)).alias("__v__")).withColumn("__side__", F.lit(1 if strict == back else 0))
-    l = left.withColumn("__v__", F.lit(None).cast(r.schema["__v__"].dataType)).withColumn("__side__", F.lit(0 if strict == back else 1)).withColumn("__left__", F.lit(True))
+    r = right.groupBy(*by, on).agg(F.max(F.struct(*values)).alias("__v__")).withColumn("__side__", F.lit(1 if strict else 0))
+    l = left.withColumn("__v__", F.lit(None).cast(r.schema["__v__"].dataType)).withColumn("__side__", F.lit(0 if strict else 1)).withColumn("__left__", F.lit(True))
     both = l.unionByName(r, allowMissingColumns=True)
-    order = [F.col(on).asc(), F.col("__side__").asc()] if back else [F.col(on).desc(), F.col("__side__").asc()]
-    if not back:
-        both = both.withColumn("__side__", F.when(F.col("__left__").isNotNull(), F.lit(0 if strict else 1)).otherwise(F.lit(1 if strict else 0)))
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0) if by else W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = both.withColumn("__v__", F.last("__v__", ignorenulls=True).over(w)).where("__left__")
+    parts = list(by)
+    if width is not None:
+        kind = dict(both.dtypes)[on]
+        at = F.unix_micros(F.col(on).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(on).cast("double")
+        both = both.withColumn("__range__", F.floor(at / width))
+        parts.append("__range__")
+        w = W.partitionBy(*by).orderBy(F.col("__range__").asc() if back else F.col("__range__").desc()).rowsBetween(W.unboundedPreceding, -1)
+        ends = both.groupBy(*parts).agg((F.max_by if back else F.min_by)("__v__", F.when(F.col("__left__").isNull(), F.col(on))).alias("__end__"))
+        carried = ends.select(*parts, F.last("__end__", ignorenulls=True).over(w).alias("__carried__")).withColumnsRenamed({p: f"__{p}__" for p in parts})
+        same = [F.col(p).eqNullSafe(F.col(f"__{p}__")) for p in parts]
+        both = both.join(carried, same)
+    order = [F.col(on).asc() if back else F.col(on).desc(), F.col("__side__").asc()]
+    w = W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    found = F.last("__v__", ignorenulls=True).over(w)
+    out = both.withColumn("__v__", F.coalesce(found, F.col("__carried__")) if width is not None else found).where("__left__")
     return out.select(*left.columns, *[F.col("__v__")[v].alias(v) for v in values])
 
 

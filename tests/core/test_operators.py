@@ -149,6 +149,11 @@ def test_joins(spark):
     assert pick(strict=True) == {1: "two", 2: None, 3: None}
     assert pick(direction="forward") == {1: "five", 2: "two", 3: None}
     assert pick(direction="forward", strict=True) == {1: "nine", 2: "two", 3: None}
+    for width in (1, 3, 100):
+        assert pick(width=width) == {1: "five", 2: None, 3: None} and pick(strict=True, width=width) == {1: "two", 2: None, 3: None}
+        assert pick(direction="forward", width=width) == {1: "five", 2: "two", 3: None} and pick(direction="forward", strict=True, width=width) == {1: "nine", 2: "two", 3: None}
+    whole = {r.id: r.v for r in joins.asof(left.drop("k"), right.drop("k"), "t", [], ["v"], width=2).collect()}
+    assert whole == {1: "five", 2: None, 3: "five"}
     out = joins.join_query(spark, {"jl": left, "jr": right}, "SELECT count(*) AS n FROM jl JOIN jr USING (k)")
     assert out.first().n == 6 and not spark.catalog.tableExists("jl")
 
