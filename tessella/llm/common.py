@@ -202,3 +202,13 @@ def join_by_count(rows: DataFrame, table: DataFrame, keys: list[str], count: str
     cold = table.where(F.col(count) * HOT_SHARE <= total).select(*keys, *values)
     left = marked.where("_hot is null").drop("_hot", *values).join(cold, keys, "left")
     return left.unionByName(marked.where("_hot is not null").drop("_hot"))
+
+
+#: Tables of at most so many rows of a few numbers are broadcast; others are joined as Spark sees fit.
+SMALL_ROWS = 10_000
+
+
+def small_side(df: DataFrame, tag: str) -> DataFrame:
+    """df as a written table, marked for broadcast if it has at most SMALL_ROWS rows."""
+    df = materialize(df, tag)
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df

@@ -249,7 +249,7 @@ def _quantiles(df: DataFrame, value: Column, step: float, at: dict[str, float])
 def bands(scored: DataFrame) -> DataFrame:
     """(lang_key, mid, low_t, high_t): each language's median log perplexity and bounds of its scaled deviations."""
     good = scored.where(~F.col("base_failed"))
-    mid = _quantiles(good, F.col("log_perplexity"), 0.001, {"mid": 0.5})
+    mid = common.small_side(_quantiles(good, F.col("log_perplexity"), 0.001, {"mid": 0.5}), "medians")
     t = (F.col("log_perplexity") - F.col("mid")) * F.sqrt("n_bytes")
     q = _quantiles(good.join(mid, "lang_key"), t, 0.01, {"q1": 0.25, "q3": 0.75})
     wide = SPREAD * (F.col("q3") - F.col("q1"))
@@ -271,7 +271,7 @@ def score_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     rows = rows.withColumn("base_failed", base_failed()).withColumn("lang_key", F.coalesce(F.col("lang").cast("string"), F.lit("")))
     rows = common.materialize(rows, "perplexity")
     root = F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
-    out = rows.join(bands(rows), "lang_key", "left").withColumn("low", F.exp(F.col("mid") + F.col("low_t") / root - TOLERANCE)).withColumn("high", F.exp(F.col("mid") + F.col("high_t") / root + TOLERANCE))
+    out = rows.join(common.small_side(bands(rows), "bands"), "lang_key", "left").withColumn("low", F.exp(F.col("mid") + F.col("low_t") / root - TOLERANCE)).withColumn("high", F.exp(F.col("mid") + F.col("high_t") / root + TOLERANCE))
     inside = F.exp("log_perplexity").between(F.col("low"), F.col("high"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
