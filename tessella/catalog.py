@@ -217,7 +217,7 @@ def group_null_key(spark, sf_dir):
 @query("""SELECT r_name, n_name, (2 - grouping(r_name) - grouping(n_name))::INT AS __level__, count(*) AS __count__, round(sum(c_acctbal), 2) AS sum_c_acctbal
        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
 def group_tree(spark, sf_dir):
-    d = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    d = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return aggregate.group_tree(d, ["r_name", "n_name"], [{"fn": "sum", "columnId": "c_acctbal"}]).withColumn("sum_c_acctbal", F.round("sum_c_acctbal", 2))
 
 
