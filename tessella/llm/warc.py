@@ -188,14 +188,15 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_refers(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest and refers_to, the page that holds the payload where it is another one."""
-    keyed = pages.withColumn("digest", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))).withColumn("size", F.coalesce(F.octet_length("html"), F.lit(0)))
-    rows = keyed.select("page_id", "digest", "size")
+    keyed = pages.withColumn("digest", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
+    # what decides about copies is read from this table, so payloads are hashed twice only: here and where they are written
+    rows = common.materialize(keyed.select("page_id", "digest", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size")), "payloads")
     group = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1")
     group = common.materialize(group, "copies")
     limit = rows.count() // HOT_SHARE
     hot = F.broadcast(group.where(F.col("copies") > limit).select("digest", F.col("keeper").alias("hot_keeper")))  # at most HOT_SHARE rows
     cold = group.where(F.col("copies") <= limit).select("digest", "keeper")
-    light = rows.join(hot, "digest", "left").withColumn("cold_digest", F.when(F.col("hot_keeper").isNull(), F.col("digest")))
+    light = rows.join(hot, "digest", "left")
     few = light.where("hot_keeper is null").join(cold, "digest").select("page_id", "digest", "keeper")
     many = light.where("hot_keeper is not null").select("page_id", "digest", F.col("hot_keeper").alias("keeper"))
     refers = few.unionByName(many).where(~F.col("page_id").eqNullSafe(F.col("keeper"))).distinct()
