@@ -245,7 +245,8 @@ def _link_large(members: DataFrame, ties: DataFrame, sigs: DataFrame, docs: Data
     sizes = state.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     top = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts"))
     state = state.join(top.where("parts > 1"), "cluster").withColumn("rest", (F.col("component") != F.col("top")).cast("int"))
-    state = state.withColumn("s", F.floor(F.log("n_shingles") / np.log(100 / percent)))
+    # a little wider than percent, so that rounding never puts similar sizes two powers apart
+    state = state.withColumn("s", F.floor(F.log("n_shingles") / (np.log(100 / percent) * (1 + 1e-9))))
     blocks = state.groupBy("cluster", "s").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     state = state.join(blocks, ["cluster", "s"]).withColumn("h", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     nxt = blocks.select("cluster", (F.col("s") - 1).alias("s"), F.col("k").alias("k_next"))

@@ -38,7 +38,7 @@ SKIPPABLE, SEEK_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5D
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id: int | None, nth: int = 0) -> str:
+def record_id(page_id: int | None) -> str:
     return f"urn:page:{'none' if page_id is None else page_id}"
 
 
