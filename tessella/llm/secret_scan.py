@@ -3,8 +3,9 @@
 Kinds assign, access and hex are patterns. A candidate of kind novel is a run of token characters of MIN_TOKEN or
 more near a sensitive word; it (of both cases or with digits) is compressed after the text around it, by a coder primed with common identifiers,
 and reported if it takes over MIN_BITS bits a character more than the text alone: keys and random strings do, words
-and identifiers met before or around do not. Patterns' spans stay as they are; novel ones that overlap them are
-left out. Whole texts are scanned as bytes; spans count code points, ends exclusive.
+and identifiers met before or around do not. In a run with names in it,
+NAME=VALUE or sk_..., each value is measured for itself with its name as context; if none is novel, the run is measured
+as a whole. Patterns' spans stay as they are; novel ones that overlap them are left out. Whole texts are scanned as bytes; spans count code points, ends exclusive.
 
 Null and empty texts have no spans; repeated rows are scanned alike; further columns are ignored; an empty table
 gives an empty result.
@@ -31,6 +32,10 @@ MIN_VALUE, MIN_HEX = 6, 24
 #: Words that make the bytes before a candidate a sensitive context.
 SENSITIVE = re.compile(rb"secret|token|passw|api_?key|access|auth|bearer|credential|private|signature|session|cookie|login|sk_|pk_|key")
 MIN_TOKEN, BEFORE, AROUND, MIN_BITS, MIN_LETTERS = 16, 48, 512, 6.8, 4
+#: A prefix that names a key.
+PREFIX = re.compile(rb"(?<![A-Za-z0-9])(?:sk|pk)[_-](?:(?:live|test|prod)[_-])?")
+#: An equals sign between a name and a value; those at a value's end are its padding.
+NAMES = re.compile(rb"(?<=[^=])=(?=[^=])")
 #: What code and configuration commonly say; a coder primed with it finds nothing new in it.
 IDENTIFIERS = (
     "import from return function class public private static void string integer boolean const default export async await "
@@ -80,6 +85,27 @@ class Novelty:
         return 8 * (len(self.press.compress(plain + text)) - len(self.press.compress(plain))) / len(text)
 
 
+def parts(text: bytes, s: int, e: int) -> list[tuple[int, int, int]]:
+    """(start of the name, start, end) of the values of MIN_TOKEN or more in a run with a name or a prefix in it.
+
+    A part before the first name has none and starts where it does.
+    """
+    cuts = [s, *(m.end() for m in NAMES.finditer(text, s, e))]
+    out = []
+    for k, at in enumerate(cuts):
+        end, name = cuts[k + 1] - 1 if k + 1 < len(cuts) else e, cuts[max(k - 1, 0)]
+        m = PREFIX.search(text[at:end])
+        if m and end - at - m.end() >= MIN_TOKEN:
+            out += [(name, at, at + m.start()), (at + m.start(), at + m.end(), end)]
+        else:
+            out.append((name, at, end))
+    return [x for x in out if x[2] - x[1] >= MIN_TOKEN]
+
+
+def _overlaps(base: list[tuple[int, int, int]], s: int, e: int) -> bool:
+    return any(a < e and s < z for a, _, z in base)
+
+
 def scan(text: bytes, hex_runs: list[tuple[int, int]], token_runs: list[tuple[int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """(start, kind, end) byte spans of a text, ascending."""
     low = text.lower()
@@ -88,13 +114,19 @@ def scan(text: bytes, hex_runs: list[tuple[int, int]], token_runs: list[tuple[in
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(s, 2, e) for s, e in hex_runs]
     base = sorted(found)
-    for s, e in token_runs:
-        if any(a < e and s < z for a, _, z in base) or not SENSITIVE.search(low, max(0, s - BEFORE), s):
-            continue
+
+    def novel(s: int, e: int) -> bool:
         letters = re.sub(rb"[^A-Za-z]", b"", text[s:e])
         if len(letters) < MIN_LETTERS or (letters == letters.lower() or letters == letters.upper()) and not re.search(rb"[0-9]", text[s:e]):
-            continue  # a number, a date or a plain word
-        if novelty.bits(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND]) > MIN_BITS:
+            return False  # a number, a date or a plain word
+        return novelty.bits(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND]) > MIN_BITS
+
+    for s, e in token_runs:  # a run without names is its only part
+        own = parts(text, s, e)
+        values = [(v, z) for at, v, z in own if not _overlaps(base, v, z) and SENSITIVE.search(low, max(0, min(at, v - BEFORE)), v) and novel(v, z)]
+        if values:
+            found += [(v, 3, z) for v, z in values]
+        elif own != [(s, s, e)] and not _overlaps(base, s, e) and SENSITIVE.search(low, max(0, s - BEFORE), s) and novel(s, e):
             found.append((s, 3, e))
     return sorted(found)
 

@@ -190,6 +190,21 @@ def test_novelty(spark):
     assert clean[0] == "ünder Authorization: Bearer [SECRET] done" and clean[1] == rows[1]
 
 
+def test_novelty_of_named_values(spark):
+    aws, pem, live = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8sLm2Tov", "MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcw==", "4eC39HqLyjWDarjtT1zdp7dc"
+    forms = [(f"export AWS_SECRET_ACCESS_KEY={aws}", aws), (f"private_key={pem}\n", pem), (f"curl https://x.example/a?page=2&session={live}&x=1", live), (f"sk_live_{live}", live), (f"use STRIPE=pk_test_{live} now", live)]
+    forms += [(f"{name}={live}", live) for name in ("auth", "credential", "signature", "long_name_" * 6 + "cookie_" + "of_the_site_" * 5 + "x")]
+    # no sensitive name, a name without a value, the same identifier as value
+    plain = [f"colour={live}", "AWS_SECRET_ACCESS_KEY=", "task_force_report_of_may=the_year_before_last", "session=login.session.signature.certificate"]
+    d = spark.createDataFrame([(i, t, 0) for i, t in enumerate([t for t, _ in forms] + plain)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(d).collect()}
+    for i, (t, value) in enumerate(forms):
+        assert got[i] == f"novel:{t.index(value)}:{t.index(value) + len(value)}", t
+    assert all(got[len(forms) + k] == "" for k in range(len(plain)))
+    clean = {r.doc_id: r.text for r in secret_scan.redact_secrets(d).collect()}
+    assert clean[0] == "export AWS_SECRET_ACCESS_KEY=[SECRET]" and all(value not in clean[i] for i, (_, value) in enumerate(forms))
+
+
 # ---- 4 ----
 
 
