@@ -2,8 +2,9 @@
 
 Kinds assign, access and hex are patterns. A candidate of kind novel is a run of token characters of MIN_TOKEN or
 more near a sensitive word; it (of both cases or with digits) is compressed after the text around it, by a coder primed with common identifiers,
-and reported if it takes over MIN_BITS bits a character more than the text alone: keys and random strings do, words
-and identifiers met before or around do not. In a run with names in it,
+and reported if it takes over so many bits a character more than the text alone: MIN_BITS, or LOW_BITS if it has no capitals
+but digits as random strings have, whose common characters cost less. Keys and random strings do, words and common
+identifiers do not. Its other occurrences around are left out, so that a key shown twice is as new as one shown once. In a run with names in it,
 NAME=VALUE or sk_..., each value is measured for itself with its name as context; if none is novel, the run is measured
 as a whole. Patterns' spans stay as they are; novel ones that overlap them are left out. Whole texts are scanned as bytes; spans count code points, ends exclusive.
 
@@ -32,6 +33,11 @@ MIN_VALUE, MIN_HEX = 6, 24
 #: Words that make the bytes before a candidate a sensitive context.
 SENSITIVE = re.compile(rb"secret|token|passw|api_?key|access|auth|bearer|credential|private|signature|session|cookie|login|sk_|pk_|key")
 MIN_TOKEN, BEFORE, AROUND, MIN_BITS, MIN_LETTERS = 16, 48, 512, 6.8, 4
+#: Bits a character of candidates without capitals, one in SOME_DIGITS or more of whose characters is a digit.
+LOW_BITS, SOME_DIGITS = 5.4, 8
+#: What may stand at either end of a key but is no part of it, such as a full stop.
+ENDS = b"=._-/+"
+VALUES = re.compile(rb"[A-Za-z0-9+/_.-]{%d,}" % MIN_TOKEN)
 #: A prefix that names a key.
 PREFIX = re.compile(rb"(?<![A-Za-z0-9])(?:sk|pk)[_-](?:(?:live|test|prod)[_-])?")
 #: An equals sign between a name and a value; those at a value's end are its padding.
@@ -85,6 +91,20 @@ class Novelty:
         return 8 * (len(self.press.compress(plain + text)) - len(self.press.compress(plain))) / len(text)
 
 
+def around(text: bytes, s: int, e: int) -> tuple[bytes, bytes]:
+    """AROUND bytes before and after a candidate without its other occurrences, whole or in part of MIN_TOKEN or more."""
+    core = text[s:e].strip(ENDS) or text[s:e]
+    alone = lambda m: b" " if m[0].strip(ENDS) in core else m[0]
+    reach = AROUND + len(core)
+    before, after = (VALUES.sub(alone, x.replace(core, b" ")) for x in (text[max(0, s - reach) : s], text[e : e + reach]))
+    return before[-AROUND:], after[:AROUND]
+
+
+def least_bits(value: bytes) -> float:
+    """Bits a character over which a candidate is novel, by its alphabet."""
+    return LOW_BITS if value == value.lower() and SOME_DIGITS * len(re.findall(rb"[0-9]", value)) >= len(value) else MIN_BITS
+
+
 def parts(text: bytes, s: int, e: int) -> list[tuple[int, int, int]]:
     """(start of the name, start, end) of the values of MIN_TOKEN or more in a run with a name or a prefix in it.
 
@@ -119,7 +139,8 @@ def scan(text: bytes, hex_runs: list[tuple[int, int]], token_runs: list[tuple[in
         letters = re.sub(rb"[^A-Za-z]", b"", text[s:e])
         if len(letters) < MIN_LETTERS or (letters == letters.lower() or letters == letters.upper()) and not re.search(rb"[0-9]", text[s:e]):
             return False  # a number, a date or a plain word
-        return novelty.bits(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND]) > MIN_BITS
+        before, after = around(text, s, e)
+        return novelty.bits(before, text[s:e], after) > least_bits(text[s:e])
 
     for s, e in token_runs:  # a run without names is its only part
         own = parts(text, s, e)

@@ -205,6 +205,28 @@ def test_novelty_of_named_values(spark):
     assert clean[0] == "export AWS_SECRET_ACCESS_KEY=[SECRET]" and all(value not in clean[i] for i, (_, value) in enumerate(forms))
 
 
+def test_novelty_of_repeated_keys(spark):
+    rng = random.Random(9)
+    mixed, low = ("".join(rng.choices(a, k=40)) for a in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"))
+    rows = [f"the key {k} is shown, then used as key {k}. So the key {k}" for k in (mixed, low)]
+    rows += [f"auth={mixed}\nauth={mixed}", "x " * 100 + f"key {mixed} " + "y " * 235 + f"key {mixed} end"]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.redact_secrets(d).collect()}
+    assert [got[i].text.count("[SECRET]") for i in range(len(rows))] == [3, 3, 2, 2]
+    assert not any(k in r.text for r in got.values() for k in (mixed, low))
+
+
+def test_novelty_by_alphabet():
+    rng, novelty = random.Random(10), secret_scan.Novelty()
+    for size in (16, 24, 40, 64):
+        missed = 0
+        for _ in range(200):
+            t = f"{prose(rng, 60)} the key {''.join(rng.choices('abcdefghijklmnopqrstuvwxyz0123456789', k=size))} {prose(rng, 60)}".encode()
+            b = np.frombuffer(t, np.uint8)
+            missed += not [x for _, spans in secret_scan._rows(b, np.array([0, len(b)]), novelty) for x in spans if x[1] == 3]
+        assert missed <= 14, size  # of 200; short ones for want of digits
+
+
 # ---- 4 ----
 
 
