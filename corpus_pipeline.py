@@ -18,6 +18,9 @@ from tessella.llm.packing import pack
 from tessella.llm.secret_scan import redact_secrets
 from tessella.llm.toxicity import drop_toxic
 
+#: Least similarity of near-duplicates in the corpus, in percent.
+NEAR = 80
+
 
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     ids = verdicts.where("kept").select(F.col("doc_id").alias("_kept_id"))
@@ -33,7 +36,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, near_duplicates(docs))
+    return _keep(docs, near_duplicates(docs, percent=NEAR))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document's set of word shingles gives PARTS minima, each kept in 8 bits; two documents' distance is the number of
-differing symbols. The signature is cut into CHUNKS parts of SYMBOLS symbols. By the pigeonhole principle two
-signatures at a distance of at most 2 * CHUNKS - 1 agree in some part but for one symbol, so with each part's
-SYMBOLS deletions as keys every such pair shares a key. A pair of similarity 0.85 exceeds that distance in about
-one of 10**8 cases. Sets that share keys form clusters, and inside these links are confirmed on whole sets.
+A document's set of word shingles gives a Shape's parts of minima, each kept in some bits; two documents' distance is
+the number of differing symbols. The signature is cut into chunks of some symbols. By the pigeonhole principle two
+signatures at a distance of at most 2 * chunks - 1 agree in some chunk but for one symbol, so with each chunk's
+deletions of a symbol as keys every such pair shares a key. The shape follows from the least similarity: a pair at it
+exceeds that distance in about 2 of 10**7 cases (0.85: 21 chunks of 6; 0.8: 26 of 5). Sets that share keys form clusters, and inside these links are confirmed on whole sets.
 
 Equal sets are one class from the start, so exact copies never meet pairwise. Keys are counted with partial sums,
 and each row of a shared key is tied to the key's smallest member only. A cluster small enough is linked in one
@@ -17,7 +17,10 @@ left out of links and keep themselves; repeated doc_ids count as one document; a
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +31,56 @@ from tessella.llm import common
 from tessella.llm.components import components
 
 SHINGLE, PERCENT = 5, 85
-CHUNKS, SYMBOLS = 21, 6
-PARTS = CHUNKS * SYMBOLS
-LIMIT = 2 * CHUNKS - 1
+#: Symbols of a signature, about; bits of a key's symbols together; the share of pairs that may exceed the distance.
+ABOUT, KEY_BITS, MISSED = 126, 40, 2.5e-7
+
+
+class Shape(NamedTuple):
+    """A signature's chunks, the symbols of each and the bits of a symbol."""
+
+    chunks: int
+    symbols: int
+    bits: int
+
+    @property
+    def parts(self) -> int:
+        return self.chunks * self.symbols
+
+    @property
+    def limit(self) -> int:
+        return 2 * self.chunks - 1
+
+    @property
+    def dtype(self) -> np.dtype:
+        return np.dtype(np.uint8 if self.bits <= 8 else np.uint16 if self.bits <= 16 else np.uint32)
+
+    def missed(self, percent: int) -> float:
+        """Share of the pairs at just this similarity whose distance exceeds the limit."""
+        p = (1 - percent / 100) * (1 - 0.5**self.bits)
+        return sum(math.comb(self.parts, k) * p**k * (1 - p) ** (self.parts - k) for k in range(self.limit + 1, self.parts + 1))
+
+
+@functools.cache
+def shape(percent: int) -> Shape:
+    """The longest chunks that miss too few pairs at this similarity to count."""
+    for symbols in (6, 5, 4, 3):
+        found = Shape(-(-ABOUT // symbols), symbols, -(-KEY_BITS // (symbols - 1)))
+        if found.missed(percent) <= MISSED:
+            return found
+    raise ValueError(f"no signature for a similarity of {percent} percent")
+
+
+CHUNKS, SYMBOLS, _ = shape(PERCENT)
+PARTS, LIMIT = shape(PERCENT).parts, shape(PERCENT).limit
 #: A cluster is linked in one task while documents * shingles and shingles stay below these.
 LOCAL_WORK, LOCAL_SHINGLES = 2_000_000_000, 4_000_000
 
-_RNG = np.random.default_rng(20240229)
-_FLIP = _RNG.integers(0, 1 << 32, PARTS, dtype=np.uint32)
-_TIMES = _RNG.integers(0, 1 << 32, PARTS, dtype=np.uint32) | np.uint32(1)
+
+@functools.cache
+def _hashes(parts: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240229)
+    flip = rng.integers(0, 1 << 32, parts, dtype=np.uint32)
+    return flip, rng.integers(0, 1 << 32, parts, dtype=np.uint32) | np.uint32(1)
 
 
 def shingle_sets(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,53 +108,54 @@ def shingle_sets(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x, np.searchsorted(own, np.arange(n + 1))
 
 
-def signatures(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(rows, PARTS) symbols of the sets x[at[i]:at[i + 1]]; rows with empty sets are zero."""
+def signatures(x: np.ndarray, at: np.ndarray, form: Shape = shape(PERCENT)) -> np.ndarray:
+    """(rows, parts) symbols of the sets x[at[i]:at[i + 1]]; rows with empty sets are zero."""
     n = len(at) - 1
-    out = np.zeros((n, PARTS), np.uint8)
+    out = np.zeros((n, form.parts), form.dtype)
     full = np.flatnonzero(np.diff(at))
     if len(full):
         h = (x >> np.uint64(32)).astype(np.uint32) ^ x.astype(np.uint32)
         v = np.empty_like(h)
-        for j in range(PARTS):
-            np.bitwise_xor(h, _FLIP[j], out=v)
-            v *= _TIMES[j]
+        flip, times = _hashes(form.parts)
+        for j in range(form.parts):
+            np.bitwise_xor(h, flip[j], out=v)
+            v *= times[j]
             m = np.minimum.reduceat(v, at[full])
-            out[full, j] = ((m ^ (m >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(24)
+            out[full, j] = ((m ^ (m >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - form.bits)
     return out
 
 
 SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, sig binary"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], form: Shape = shape(PERCENT)) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         b, off = common.text_buffer(batch.column(1))
         for lo, hi in common.groups(off):
             x, at = shingle_sets(b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            sig = signatures(x, at)
+            sig = signatures(x, at, form)
             sums = []
             for salt in (1, 2):  # a set is named by two sums of its members' hashes
                 c = np.concatenate([[np.uint64(0)], np.cumsum(common.mix(x + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))), dtype=np.uint64)])
                 sums.append(pa.array((c[at[1:]] - c[at[:-1]]).view(np.int64)))
-            data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((np.arange(hi - lo + 1) * PARTS).astype(np.int32)), pa.py_buffer(sig.tobytes())])
+            data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((np.arange(hi - lo + 1) * form.parts * form.dtype.itemsize).astype(np.int32)), pa.py_buffer(sig.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), *sums, data], ["doc_id", "n_shingles", "k1", "k2", "sig"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each signature's keys: a part's five symbols but one, with the part's and the symbol's number: 47 bits."""
+def _keys(batches: Iterator[pa.RecordBatch], form: Shape = shape(PERCENT)) -> Iterator[pa.RecordBatch]:
+    """Each signature's keys: a chunk's symbols but one, with the chunk's and the symbol's number: 47 or 48 bits."""
     for batch in batches:
         ids = np.asarray(batch.column(0))
-        sig = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint8).reshape(len(ids), CHUNKS, SYMBOLS).astype(np.int64)
+        sig = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), form.dtype).reshape(len(ids), form.chunks, form.symbols).astype(np.int64)
         keys = []
-        for c in range(CHUNKS):
-            for j in range(SYMBOLS):
-                k = np.full(len(ids), c * SYMBOLS + j, np.int64)
-                for i in range(SYMBOLS):
+        for c in range(form.chunks):
+            for j in range(form.symbols):
+                k = np.full(len(ids), c * form.symbols + j, np.int64)
+                for i in range(form.symbols):
                     if i != j:
-                        k = (k << 8) | sig[:, c, i]
+                        k = (k << form.bits) | sig[:, c, i]
                 keys.append(k)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(ids, PARTS))], ["key", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(ids, form.parts))], ["key", "id"])
 
 
 def _texts(it: Iterator[pa.RecordBatch], text: int, *others: int):
@@ -234,7 +279,7 @@ def _link_large(members: DataFrame, ties: DataFrame, sigs: DataFrame, docs: Data
     text = common.materialize(docs.join(members, docs["doc_id"] == members["id"]).select("id", "cluster", "text"), "large")
     s = sigs.select(F.col("doc_id").alias("s_id"), "sig")
     tied = ties.join(members.select(F.col("id")), "id").join(s.withColumnsRenamed({"s_id": "id", "sig": "sig_a"}), "id").join(s.withColumnsRenamed({"s_id": "m", "sig": "sig_b"}), "m")
-    near = tied.mapInArrow(_distances, "id long, m long, distance int").where(F.col("distance") <= LIMIT).groupBy("id").agg(F.min_by("m", F.struct("distance", "m")).alias("m"))
+    near = tied.mapInArrow(functools.partial(_distances, form=shape(percent)), "id long, m long, distance int").where(F.col("distance") <= shape(percent).limit).groupBy("id").agg(F.min_by("m", F.struct("distance", "m")).alias("m"))
     t = text.select("id", "text")
     pairs = near.join(t, "id").select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("m").alias("b")).join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "ta", "b", "tb")
     common.small_batches(spark, 200)
@@ -266,9 +311,9 @@ def _link_large(members: DataFrame, ties: DataFrame, sigs: DataFrame, docs: Data
     return members.select("id").join(components(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distances(batches: Iterator[pa.RecordBatch], form: Shape) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        one, two = (np.frombuffer(b"".join(x.as_py() for x in batch.column(k)), np.uint8).reshape(-1, PARTS) for k in ("sig_a", "sig_b"))
+        one, two = (np.frombuffer(b"".join(x.as_py() for x in batch.column(k)), form.dtype).reshape(-1, form.parts) for k in ("sig_a", "sig_b"))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("m"), pa.array((one != two).sum(axis=1).astype(np.int32))], ["id", "m", "distance"])
 
 
@@ -277,13 +322,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     common.small_batches(spark)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = common.materialize(d.mapInArrow(_sign, SIGNED), "signed")
+    signed = common.materialize(d.mapInArrow(functools.partial(_sign, form=shape(percent)), SIGNED), "signed")
     known = signed.where("doc_id is not null and n_shingles > 0")
     names = ["k1", "k2", "n_shingles"]
     classes = common.materialize(known.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sig")
-    # a signature of 126 bytes becomes as many rows, so their number, not the table's size, says how many tasks are due
-    keys = reps.select("doc_id", "sig").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_keys, "key long, id long")
+    # a signature of 126 symbols or so becomes as many rows, so their number, not the table's size, says how many tasks are due
+    keys = reps.select("doc_id", "sig").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(functools.partial(_keys, form=shape(percent)), "key long, id long")
     shared = common.materialize(keys.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("last")).where("m < last").select("key", "m"), "shared")
     ties = common.materialize(keys.join(shared, "key").where("id <> m").select("id", "m").distinct(), "ties")
     clusters = common.materialize(components(ties, "id", "m").withColumnRenamed("component", "cluster").join(reps.select(F.col("doc_id").alias("id"), "n_shingles"), "id"), "clusters")

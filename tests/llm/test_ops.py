@@ -562,6 +562,40 @@ def test_near_duplicates(spark, work):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("work", [near_duplicates.LOCAL_WORK, 300])
+def test_near_duplicates_of_the_stage(spark, work, monkeypatch):
+    import corpus_pipeline
+
+    rng, rows = random.Random(12), []
+    for base in range(40):  # some words of 150 replaced: similarities about 0.75 to 0.9
+        w = [f"{rng.choice(WORDS)}{rng.randrange(999)}" for _ in range(150)]
+        v = list(w)
+        for k in range(2 + base % 3):
+            v[10 + 40 * k] = f"new{base}_{k}"
+        rows += [(2 * base, " ".join(w)), (2 * base + 1, " ".join(v))]
+    s = [shingles(t) for _, t in rows]
+    alike = [len(s[k] & s[k + 1]) / len(s[k] | s[k + 1]) for k in range(0, len(rows), 2)]
+    assert sum(0.8 <= x < 0.85 for x in alike) >= 10 and sum(x < 0.8 for x in alike) >= 10
+    want = {i for i, _ in rows} - {2 * k + 1 for k, x in enumerate(alike) if x >= 0.8}
+    inner = near_duplicates.near_duplicates
+    monkeypatch.setattr(corpus_pipeline, "near_duplicates", lambda d, **k: inner(d, local_work=work, **k))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, d, "").collect()} == want
+
+
+@pytest.mark.parametrize("percent", [60, 70, 80, 85, 95])
+def test_shapes(percent):
+    form, rng = near_duplicates.shape(percent), np.random.default_rng(percent)
+    assert form.missed(percent) <= 2.5e-7
+    a = rng.integers(0, 1 << form.bits, form.parts).astype(form.dtype)
+    for _ in range(50):
+        b = a.copy()
+        b[rng.choice(form.parts, form.limit, replace=False)] ^= 1
+        (out,) = near_duplicates._keys(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()])], ["doc_id", "sig"])]), form)
+        keys, ids = out.column(0).to_numpy(), out.column(1).to_numpy()
+        assert len(np.intersect1d(keys[ids == 1], keys[ids == 2])) and keys.min() >= 0 and len(np.unique(keys[ids == 1])) == form.parts
+
+
 def test_near_duplicates_edges(spark):
     d = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (4, "A B C D E F"), (9, None)], "doc_id long, text string")
     assert {(r.doc_id, r.component_id, r.kept) for r in near_duplicates.near_duplicates(d).collect()} == {(None, None, True), (5, 4, False), (4, 4, True), (9, 9, True)}
