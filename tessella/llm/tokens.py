@@ -104,8 +104,8 @@ class WordIds(WordMemo):
         return plain + other, np.concatenate(ids), np.concatenate(size)
 
     def _encode(self, texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-        # a mark alone between a letter and a blank is a token of its own in any case
-        texts = pc.replace_substring_regex(texts, r"([A-Za-z\x{C0}-\x{FF}])([,.])(\s)", r"\1 \2\3")
+        # a mark alone between a letter and a blank is a token of its own in any case; × and ÷ are no letters
+        texts = pc.replace_substring_regex(texts, r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([,.])(\s)", r"\1 \2\3")
         if lower:  # as the vocabulary's normaliser does
             texts = pc.ascii_lower(texts)
         split = pc.ascii_split_whitespace(texts)

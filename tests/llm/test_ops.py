@@ -356,6 +356,12 @@ def test_word_ids(texts, library):
             assert [ids[a:z].tolist() for a, z in zip(off, off[1:], strict=False)] == [library(t) for t in part]
 
 
+def test_word_ids_of_signs_among_letters(library):
+    part = ["5 ×, 7", "5 ÷. 7", "5 ×. 7 ÷, x", "À, Ö. Ø, ö. ø, ÿ. ß, z"]
+    ids, off = tokens.WordIds(tokens.default_path()).encode(pa.array(part))
+    assert [ids[a:z].tolist() for a, z in zip(off, off[1:], strict=False)] == [library(t) for t in part]
+
+
 @pytest.mark.parametrize("n", [1, 5, 100, 3000, 70_000])
 def test_rans_blocks(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 49_407)
