@@ -1,8 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary texts, back off to one shared unigram distribution over both classes,
-and each class's unigram count is joined by BACKOFF counts dealt out as in both classes together, so rare words say next to nothing. Each window of some words has the difference of the two length-normalised
-log-likelihoods; a text takes its highest window, so a short passage in a long text counts as in a short text. A
+A bigram model of all labelled texts, with an absolute discount, backs off to continuation counts: the distinct words
+that a word follows. Each class has its own continuation counts, and its bigrams are joined by PAIR_BACKOFF counts (its
+words by BACKOFF) dealt out as in both classes together, so rare ones say little; all bigrams and words count. Each window of some words has the
+difference of the two length-normalised log-likelihoods; a text takes its highest window, so a short passage in a long text counts as in a short text. A
 logistic curve over the highest windows of WIDTHS words, fitted on labelled rows of their own fold, gives the score.
 
 Labels come from rows whose crc32(doc_id as text) mod 5 is not 0: folds 1 to 3 give the counts, fold 4 the curve;
@@ -25,10 +26,8 @@ from tessella.llm import common
 FOLDS, FIT_ROWS = 5, 5000
 #: Words in a row over which log-likelihoods are normalised; a text shorter than a width counts as padded.
 WIDTHS = (1, 4, 16)
-#: Rarer bigrams are left to the unigrams, words met once to the shared backoff: cut-offs by order.
-MIN_BIGRAM, MIN_WORD = 50, 2
-#: Absolute discount of the bigrams, and the shared backoff counts that each class's unigram is smoothed with.
-DISCOUNT, BACKOFF = 0.75, 2.0
+#: Absolute discount of the bigrams, and the shared backoff counts that each class's words and bigrams are smoothed with.
+DISCOUNT, BACKOFF, PAIR_BACKOFF = 0.75, 2.0, 50.0
 
 _STRIP = np.zeros(256, bool)
 _STRIP[list(b".,;:!?\"'()[]{}*#$%&|<>-_~`^/\\+=")] = True
@@ -74,27 +73,43 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, before[side == c][at], h[side == c][at])] + [pa.array(np.full(len(u), c)), pa.array(n)], ["key", "before", "word", "toxic", "n"])
 
 
+class LowerOrder:
+    """Either class's continuation probability of each word, and what follows it, by sorted word hashes."""
+
+    def __init__(self, t: pa.Table):
+        """t: word and, for either class, c (distinct words before) and s (tokens after); c and k, distinct words before and after in any class."""
+        order = np.argsort(t.column("word").to_numpy())
+        col = lambda k: t.column(k).to_numpy()[order].astype(float)
+        self.words = t.column("word").to_numpy()[order]
+        p0 = col("c") / max(col("c").sum(), 1)
+        total = [col(f"c{c}").sum() for c in (0, 1)]
+        self.p0, self.kinds = p0, col("k")
+        known = p0 > 0  # not so what only stands for the start of a row
+        self.p = np.array([p0 * (col(f"c{c}") + BACKOFF) / (p0 * total[c] + BACKOFF) for c in (0, 1)])
+        self.gap = np.zeros(len(p0), np.float32)
+        self.gap[known] = np.log(self.p[1][known] / self.p[0][known])
+        self.s = np.array([col(f"s{c}") for c in (0, 1)])
+
+    def pair_gaps(self, before: np.ndarray, word: np.ndarray, n: list[np.ndarray]) -> np.ndarray:
+        """log p_toxic - log p_ordinary of bigrams met n[c] times in either class."""
+        at, ctx = np.searchsorted(self.words, word), np.searchsorted(self.words, before)
+        shared = (np.maximum(n[0] + n[1] - DISCOUNT, 0) + DISCOUNT * self.kinds[ctx] * self.p0[at]) / self.s[:, ctx].sum(axis=0)
+        log_p = []
+        for c in (0, 1):
+            p = shared * self.p[c][at] / self.p0[at]
+            log_p.append(np.log(p * (n[c] + PAIR_BACKOFF) / (p * self.s[c][ctx] + PAIR_BACKOFF)))
+        return (log_p[1] - log_p[0]).astype(np.float32)
+
+
 class ClassModels:
     """Differences of the classes' log p(word | before) as sorted arrays of word and bigram hashes."""
 
-    def __init__(self, words: pa.Table, totals: list[float], pairs: pa.Table):
-        """words: word, n0, n1; totals: words of either class; pairs: key, word and, for either class, n (bigram), s and k (tokens and kinds after its first word)."""
-        col = lambda t, k: t.column(k).to_numpy()
-        order = np.argsort(col(words, "word"))
-        self.words = col(words, "word")[order]
-        n = np.array([col(words, "n0")[order], col(words, "n1")[order]], float)
-        p0 = n.sum(axis=0) / max(sum(totals), 1)
-        uni = np.array([p0 * (n[c] + BACKOFF) / (p0 * totals[c] + BACKOFF) for c in (0, 1)])
-        self.uni_gap = (np.log(uni[1]) - np.log(uni[0])).astype(np.float32)
-        order = np.argsort(col(pairs, "key"))
-        self.pairs = col(pairs, "key")[order]
-        at = np.searchsorted(self.words, col(pairs, "word")[order])
-        log_p = []
-        for c in (0, 1):
-            own, s, k = (col(pairs, f"{x}{c}")[order].astype(float) for x in "nsk")
-            back = uni[c][at] if len(at) else np.zeros(0)
-            log_p.append(np.log(np.where(s > 0, (np.maximum(own - DISCOUNT, 0) + DISCOUNT * k * back) / np.maximum(s, 1), back)))
-        self.pair_gap = (log_p[1] - log_p[0]).astype(np.float32)
+    def __init__(self, lower: LowerOrder, pairs: pa.Table):
+        """pairs: key and gap of each bigram."""
+        self.words, self.uni_gap = lower.words, lower.gap
+        key = pairs.column("key").to_numpy()
+        order = np.argsort(key)
+        self.pairs, self.pair_gap = key[order], pairs.column("gap").to_numpy()[order]
 
     def word_gaps(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
         """log p_toxic - log p_ordinary of each word; words of neither class count nothing."""
@@ -167,14 +182,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     texts = common.materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "curve"), "labelled")  # 4 * FIT_ROWS rows at most
     counts = texts.where("not curve").select("text", F.col("toxic").cast("long")).mapInArrow(_counter, "key long, before long, word long, toxic long, n long")
     counts = common.materialize(counts.groupBy("key", "before", "word", "toxic").agg(F.sum("n").alias("n")), "bigrams")
-    side = lambda f, x, name: [f(F.when(F.col("toxic") == c, F.col(x))).alias(f"{name}{c}") for c in (0, 1)]
-    words = counts.groupBy("word").agg(*side(F.sum, "n", "n")).na.fill(0)
-    total = counts.agg(*side(F.sum, "n", "n")).na.fill(0).first()
-    if not total.n0 or not total.n1:
+    n = [F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in (0, 1)]
+    pairs = common.materialize(counts.groupBy("key", "before", "word").agg(*n), "pairs")
+    onto = pairs.groupBy("word").agg(*[F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"c{c}") for c in (0, 1)], F.count("*").alias("c"))
+    after = pairs.groupBy(F.col("before").alias("word")).agg(*[F.sum(f"n{c}").alias(f"s{c}") for c in (0, 1)], F.count("*").alias("k"))
+    t = onto.join(after, "word", "full").na.fill(0).toArrow()  # the vocabulary of a bounded sample
+    if not all(np.asarray(t.column(f"c{c}")).any() for c in (0, 1)):
         return Scorer(None)
-    pairs = counts.groupBy("key", "before", "word").agg(*side(F.sum, "n", "n")).na.fill(0).where(F.col("n0") + F.col("n1") >= MIN_BIGRAM)
-    contexts = counts.groupBy("before").agg(*side(F.sum, "n", "s"), *side(F.count, "n", "k")).na.fill(0)
-    models = ClassModels(words.where(F.col("n0") + F.col("n1") >= MIN_WORD).toArrow(), [total.n0, total.n1], pairs.join(contexts, "before").toArrow())
+    lower = LowerOrder(t)
+    given = spark.sparkContext.broadcast(lower)
+
+    def gaps(batches):
+        for batch in batches:
+            key, before, word, *n = (np.asarray(batch.column(k)) for k in ("key", "before", "word", "n0", "n1"))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(given.value.pair_gaps(before, word, n))], ["key", "gap"])
+
+    models = ClassModels(lower, pairs.mapInArrow(gaps, "key long, gap float").toArrow())
     shared = spark.sparkContext.broadcast(Scorer(models))
 
     def evidence(batches):

@@ -517,6 +517,19 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score_toxicity(d, y.where("false")).collect()} == {0.0}
 
 
+def test_lower_order_counts_words_before(spark):
+    # zorn is met often but after one word only, quill after many, each bigram once
+    bad = ["grim zorn"] * 12 + [f"w{k} quill" for k in range(12)]
+    rows = [(i, f"{bad[i % 24]} tail" if i % 2 else "grim tail of w1 end", i % 2) for i in range(0, 400)]
+    b, off = common.text_buffer(pa.array(["zorn", "quill", "w5 quill", "w1 other"]))
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    models = toxicity.fit(d, spark.createDataFrame([(i, c) for i, _, c in rows], "doc_id long, toxic int")).models
+    h, row = toxicity.word_keys(b, off)
+    gap = dict(zip(models.words.tolist(), models.uni_gap.tolist(), strict=True))
+    assert gap[int(h[1:2].view(np.int64)[0])] > gap[int(h[0:1].view(np.int64)[0])] > 0
+    assert np.isin(toxicity.pair_keys(h, row)[[3]].view(np.int64), models.pairs).all()  # a rare bigram is kept
+
+
 # ---- 10 ----
 
 
