@@ -1,8 +1,6 @@
 """Stateful operators over streams of changes, with a store on disk (RocksDB) and timers only where needed.
 
-Streams are rows (key, row columns..., weight, seq) or row diffs (kind, version, pkey, fields). Each operator
-keeps what it must per key; a key's state is on one task at a time, so hot keys are aggregated before they get here
-where the operator allows it.
+A key's state is one number, on one task at a time; operators that need all rows of a key are in folds.
 """
 
 from __future__ import annotations
@@ -13,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -42,103 +40,6 @@ class Distinct(StatefulProcessor):
         pass
 
 
-class GroupAggregate(StatefulProcessor):
-    """n, sum, min and max of a group under insertions and deletions; emits the old row with -1 and the new with +1.
-
-    Values are kept with their weights in a map, so a deleted extreme gives way to the next.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getMapState("values", StructType([StructField("x", DoubleType())]), _one(LongType()))
-
-    def _row(self) -> tuple | None:
-        pairs = [(k[0], v[0]) for k, v in self.values.iterator() if v[0] > 0]
-        n = sum(w for _, w in pairs)
-        return (n, float(sum(x * w for x, w in pairs)), min(x for x, _ in pairs), max(x for x, _ in pairs)) if n else None
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        before = self._row()
-        change: dict[float, int] = {}
-        for p in rows:
-            for x, w in zip(p["x"], p["weight"], strict=True):
-                change[float(x)] = change.get(float(x), 0) + int(w)
-        for x, w in change.items():
-            now = (self.values.getValue((x,))[0] if self.values.containsKey((x,)) else 0) + w
-            if now:
-                self.values.updateValue((x,), (now,))
-            else:
-                self.values.removeKey((x,))
-        after = self._row()
-        out = [(key[0], *r, w) for r, w in ((before, -1), (after, 1)) if r is not None and before != after]
-        if out:
-            yield pd.DataFrame(out, columns=["key", "n", "sum", "min", "max", "weight"])
-
-    def close(self) -> None:
-        pass
-
-
-class TopK(StatefulProcessor):
-    """The k smallest (score, id) of a partition under insertions and deletions, as -1 and +1 rows."""
-
-    def __init__(self, k: int):
-        self.k = k
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getMapState("rows", StructType([StructField("id", LongType())]), _one(DoubleType()))
-
-    def _top(self) -> set:
-        return set(sorted((v[0], k[0]) for k, v in self.rows.iterator())[: self.k])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        before = self._top()
-        for p in rows:
-            for i, x, w in zip(p["id"], p["score"], p["weight"], strict=True):
-                if w > 0:
-                    self.rows.updateValue((int(i),), (float(x),))
-                elif self.rows.containsKey((int(i),)):
-                    self.rows.removeKey((int(i),))
-        after = self._top()
-        out = [(key[0], i, x, -1) for x, i in sorted(before - after)] + [(key[0], i, x, 1) for x, i in sorted(after - before)]
-        if out:
-            yield pd.DataFrame(out, columns=["key", "id", "score", "weight"])
-
-    def close(self) -> None:
-        pass
-
-
-class GapTracker(StatefulProcessor):
-    """Diffs of a source in version order: duplicates are dropped, later ones wait while one is missing.
-
-    Emits ("apply", version, pkey) for diffs in order and ("gap", first missing version, null) when a hole opens.
-    The first diff of a source sets its base.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", _one(LongType()))
-        self.waiting = handle.getMapState("waiting", StructType([StructField("version", LongType())]), _one(StringType()))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        out, fresh = [], False
-        new = sorted({int(v): p_ for p in rows for v, p_ in zip(p["version"], p["pkey"], strict=True)}.items())
-        last = self.last.get()[0] if self.last.exists() else (new[0][0] - 1 if new else -1)
-        for v, pkey in new:
-            if v > last and not self.waiting.containsKey((v,)):
-                self.waiting.updateValue((v,), (pkey,))
-                fresh = True
-        while self.waiting.containsKey((last + 1,)):
-            last += 1
-            out.append((key[0], "apply", last, self.waiting.getValue((last,))[0]))
-            self.waiting.removeKey((last,))
-        self.last.update((last,))
-        if fresh and next(iter(self.waiting.keys()), None) is not None:
-            out.append((key[0], "gap", last + 1, None))
-        if out:
-            yield pd.DataFrame(out, columns=["source", "event", "version", "pkey"])
-
-    def close(self) -> None:
-        pass
-
-
 def _run(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None")
@@ -147,21 +48,3 @@ def _run(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: s
 def distinct(entries: DataFrame) -> DataFrame:
     """(key, weight) changes of presence of a stream of (key string, weight)."""
     return _run(entries.select(F.col("key").cast("string").alias("key"), F.col("weight").cast("long").alias("weight")), ["key"], Distinct(), "key string, weight long")
-
-
-def group_aggregate(entries: DataFrame) -> DataFrame:
-    """(key, n, sum, min, max, weight) changes of the groups of a stream of (key, x, weight)."""
-    d = entries.select(F.col("key").cast("string").alias("key"), F.col("x").cast("double").alias("x"), F.col("weight").cast("long").alias("weight"))
-    return _run(d, ["key"], GroupAggregate(), "key string, n long, sum double, min double, max double, weight long")
-
-
-def top_k(entries: DataFrame, k: int) -> DataFrame:
-    """(key, id, score, weight) changes of each partition's k smallest rows of a stream of (key, id, score, weight)."""
-    d = entries.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.col("score").cast("double").alias("score"), F.col("weight").cast("long").alias("weight"))
-    return _run(d, ["key"], TopK(k), "key string, id long, score double, weight long")
-
-
-def track_gaps(diffs: DataFrame) -> DataFrame:
-    """(source, event, version, pkey) of a stream of (source, version, pkey)."""
-    d = diffs.select(F.col("source").cast("string").alias("source"), F.col("version").cast("long").alias("version"), F.col("pkey").cast("string").alias("pkey"))
-    return _run(d, ["source"], GapTracker(), "source string, event string, version long, pkey string")
