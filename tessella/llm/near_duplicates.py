@@ -7,12 +7,15 @@ deletions of a symbol as keys every such pair shares a key. The shape follows fr
 exceeds that distance in about 2 of 10**7 cases (0.85: 21 chunks of 6; 0.8: 26 of 5). Sets that share keys form clusters, and inside these links are confirmed on whole sets.
 
 Equal sets are one class from the start, so exact copies never meet pairwise. Keys are counted with partial sums,
-and each row of a shared key is tied to the key's smallest member only. A cluster small enough is linked in one
+and each row of a shared key is tied to the key's smallest member only; where a key has two members, the tie stands
+for its pair alone and goes if the signatures' distance exceeds the limit. A cluster small enough is linked in one
 task, most documents being reached from one of them; in a larger one the ties are confirmed first, and what they
 leave apart is compared, by shared keys, with the rest.
 
 Null and empty texts have an empty set and no links; texts below SHINGLE words are one shingle; null doc_ids are
-left out of links and keep themselves; repeated doc_ids count as one document; an empty table gives an empty result.
+left out of links and keep themselves; each row is a document of its own, also where rows share a doc_id: the result
+has a row for each, and rows of one id with different texts are linked by their own texts only; further columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from tessella.llm.components import components
 
 SHINGLE, PERCENT = 5, 85
 #: Symbols of a signature, about; bits of a key's symbols together; the share of pairs that may exceed the distance.
-ABOUT, KEY_BITS, MISSED = 126, 40, 2.5e-7
+ABOUT, KEY_BITS, MISSED = 126, 52, 2.5e-7
 
 
 class Shape(NamedTuple):
@@ -125,6 +128,15 @@ def signatures(x: np.ndarray, at: np.ndarray, form: Shape = shape(PERCENT)) -> n
     return out
 
 
+def set_names(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of the hashes of each set's members, which name the set together with its size."""
+    out = []
+    for salt in (1, 2):
+        c = np.concatenate([[np.uint64(0)], np.cumsum(common.mix(x + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))), dtype=np.uint64)])
+        out.append((c[at[1:]] - c[at[:-1]]).view(np.int64))
+    return out[0], out[1]
+
+
 SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, sig binary"
 
 
@@ -134,16 +146,13 @@ def _sign(batches: Iterator[pa.RecordBatch], form: Shape = shape(PERCENT)) -> It
         for lo, hi in common.groups(off):
             x, at = shingle_sets(b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             sig = signatures(x, at, form)
-            sums = []
-            for salt in (1, 2):  # a set is named by two sums of its members' hashes
-                c = np.concatenate([[np.uint64(0)], np.cumsum(common.mix(x + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))), dtype=np.uint64)])
-                sums.append(pa.array((c[at[1:]] - c[at[:-1]]).view(np.int64)))
+            sums = [pa.array(k) for k in set_names(x, at)]
             data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((np.arange(hi - lo + 1) * form.parts * form.dtype.itemsize).astype(np.int32)), pa.py_buffer(sig.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), *sums, data], ["doc_id", "n_shingles", "k1", "k2", "sig"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch], form: Shape = shape(PERCENT)) -> Iterator[pa.RecordBatch]:
-    """Each signature's keys: a chunk's symbols but one, with the chunk's and the symbol's number: 47 or 48 bits."""
+    """Each signature's keys: a chunk's symbols but one, with the chunk's and the symbol's number, in at most 62 bits."""
     for batch in batches:
         ids = np.asarray(batch.column(0))
         sig = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), form.dtype).reshape(len(ids), form.chunks, form.symbols).astype(np.int64)
@@ -164,7 +173,26 @@ def _texts(it: Iterator[pa.RecordBatch], text: int, *others: int):
         b, off = common.text_buffer(batch.column(text))
         for lo, hi in common.groups(off):
             x, at = shingle_sets(b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            yield x, at, *(np.asarray(batch.column(k).slice(lo, hi - lo)) for k in others)
+            yield x, at, lo, *(np.asarray(batch.column(k).slice(lo, hi - lo)) for k in others)
+
+
+#: Members of clusters with a text that has their doc_id; it is theirs if its set has their name.
+MEMBERS = "cluster long, id long, k1 long, k2 long, n_shingles long, text string"
+
+
+def _own(batches: Iterator[pa.RecordBatch]):
+    """(cluster, id, sets, their offsets, rows) of rows of MEMBERS whose text is their own, a few MB of text at a time."""
+    for batch in batches:
+        for x, at, lo, *cols in _texts(iter([batch]), 5, 0, 1, 2, 3, 4):
+            cluster, ids, k1, k2, n = cols
+            own = set_names(x, at)
+            ok = np.flatnonzero((own[0] == k1) & (own[1] == k2) & (np.diff(at) == n))
+            yield cluster[ok], ids[ok], [x[at[i] : at[i + 1]] for i in ok], batch.slice(lo, len(n)).take(pa.array(ok))
+
+
+def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, _, _, rows in _own(batches):
+        yield rows.select(["id", "cluster", "text"])
 
 
 def link(ids: np.ndarray, x: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -201,26 +229,23 @@ def link(ids: np.ndarray, x: np.ndarray, at: np.ndarray, percent: int = PERCENT)
 
 
 def _link_clusters(percent: int):
-    """Rows (cluster, id, text), sorted by cluster, to (id, component)."""
+    """Rows of MEMBERS, sorted by cluster, to (id, component)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: dict[int, np.ndarray] = {}
         now = None
 
         def done():
-            size = np.concatenate([np.diff(a) for _, _, a in held])
-            ids = np.concatenate([i for i, _, _ in held])
-            comp = link(ids, np.concatenate([x for _, x, _ in held]), np.concatenate([[0], np.cumsum(size)]), percent)
+            ids = np.array(list(held), np.int64)
+            comp = link(ids, np.concatenate(list(held.values())), np.concatenate([[0], np.cumsum([len(x) for x in held.values()])]), percent)
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(comp)], ["id", "component"])
 
-        for x, at, cluster, ids in _texts(batches, 2, 0, 1):
-            cut = np.flatnonzero(np.diff(cluster, prepend=cluster[0] - 1))
-            for lo, hi in zip(cut, [*cut[1:], len(cluster)], strict=True):
-                if held and cluster[lo] != now:
+        for clusters, ids, sets, _ in _own(batches):
+            for cluster, i, x in zip(clusters.tolist(), ids.tolist(), sets, strict=True):
+                if held and cluster != now:
                     yield done()
-                    held = []
-                now = cluster[lo]
-                held.append((ids[lo:hi], x[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]))
+                    held = {}
+                now, held[i] = cluster, x
         if held:
             yield done()
 
@@ -233,7 +258,7 @@ def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (list(_texts(iter([batch]), k)) for k in (1, 3))
-            sets = [[x[at[i] : at[i + 1]] for x, at in part for i in range(len(at) - 1)] for part in (one, two)]
+            sets = [[x[at[i] : at[i + 1]] for x, at, _ in part for i in range(len(at) - 1)] for part in (one, two)]
             both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(*sets, strict=True)], np.int64)
             size = np.array([len(p) + len(q) for p, q in zip(*sets, strict=True)], np.int64)
             ok = pa.array(100 * both >= percent * (size - both))
@@ -268,6 +293,14 @@ def _block_links(percent: int):
     return run
 
 
+def _near_ties(ties: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """(id, m, distance) of the ties within the distance that the shape guarantees to find."""
+    s = sigs.select(F.col("id").alias("s_id"), "sig")
+    tied = ties.join(s.withColumnsRenamed({"s_id": "id", "sig": "sig_a"}), "id").join(s.withColumnsRenamed({"s_id": "m", "sig": "sig_b"}), "m")
+    found = tied.select("id", "m", "sig_a", "sig_b").mapInArrow(functools.partial(_distances, form=shape(percent)), "id long, m long, distance int")
+    return found.where(F.col("distance") <= shape(percent).limit)
+
+
 def _link_large(members: DataFrame, ties: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int, block: int = 1000) -> DataFrame:
     """(id, component) of clusters too large for one task.
 
@@ -276,17 +309,15 @@ def _link_large(members: DataFrame, ties: DataFrame, sigs: DataFrame, docs: Data
     factor of percent / 100 fall in the same or the next power of it.
     """
     spark = docs.sparkSession
-    text = common.materialize(docs.join(members, docs["doc_id"] == members["id"]).select("id", "cluster", "text"), "large")
-    s = sigs.select(F.col("doc_id").alias("s_id"), "sig")
-    tied = ties.join(members.select(F.col("id")), "id").join(s.withColumnsRenamed({"s_id": "id", "sig": "sig_a"}), "id").join(s.withColumnsRenamed({"s_id": "m", "sig": "sig_b"}), "m")
-    near = tied.mapInArrow(functools.partial(_distances, form=shape(percent)), "id long, m long, distance int").where(F.col("distance") <= shape(percent).limit).groupBy("id").agg(F.min_by("m", F.struct("distance", "m")).alias("m"))
+    text = common.materialize(_with_texts(docs, members).mapInArrow(_own_texts, "id long, cluster long, text string"), "large")
+    near = _near_ties(ties.join(members.select("id"), "id"), sigs, percent).groupBy("id").agg(F.min_by("m", F.struct("distance", "m")).alias("m"))
     t = text.select("id", "text")
     pairs = near.join(t, "id").select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("m").alias("b")).join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "ta", "b", "tb")
     common.small_batches(spark, 200)
     first = common.materialize(pairs.mapInArrow(_confirm(percent), "a long, b long"), "links")
     common.small_batches(spark)
     state = members.select("id", "cluster").join(components(first), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    state = common.materialize(state.join(sigs.select(F.col("doc_id").alias("id"), "n_shingles"), "id"), "state")
+    state = common.materialize(state.join(sigs.select("id", "n_shingles"), "id"), "state")
     sizes = state.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     top = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts"))
     state = state.join(top.where("parts > 1"), "cluster").withColumn("rest", (F.col("component") != F.col("top")).cast("int"))
@@ -317,36 +348,46 @@ def _distances(batches: Iterator[pa.RecordBatch], form: Shape) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("m"), pa.array((one != two).sum(axis=1).astype(np.int32))], ["id", "m", "distance"])
 
 
+def _with_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of MEMBERS: each member with every text of its doc_id."""
+    m = members.select("cluster", "id", "k1", "k2", "n_shingles", F.col("rep").alias("m_doc_id"))
+    return docs.join(m, docs["doc_id"] == m["m_doc_id"]).select("cluster", "id", "k1", "k2", "n_shingles", "text")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, local_work: int = LOCAL_WORK, local_shingles: int = LOCAL_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+    """doc_id, n_shingles, component_id (the smallest doc_id of the row's component) and kept of every row."""
     spark = docs.sparkSession
     common.small_batches(spark)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = common.materialize(d.mapInArrow(functools.partial(_sign, form=shape(percent)), SIGNED), "signed")
+    signed = d.mapInArrow(functools.partial(_sign, form=shape(percent)), SIGNED).withColumn("row", F.monotonically_increasing_id())
+    signed = common.materialize(signed, "signed")  # the row numbers hold from here on
     known = signed.where("doc_id is not null and n_shingles > 0")
     names = ["k1", "k2", "n_shingles"]
-    classes = common.materialize(known.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sig")
+    # a class is known by its smallest row number, as doc_ids may be shared by rows of different sets
+    classes = common.materialize(known.groupBy(*names).agg(F.min("row").alias("id"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
     # a signature of 126 symbols or so becomes as many rows, so their number, not the table's size, says how many tasks are due
-    keys = reps.select("doc_id", "sig").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(functools.partial(_keys, form=shape(percent)), "key long, id long")
-    shared = common.materialize(keys.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("last")).where("m < last").select("key", "m"), "shared")
-    ties = common.materialize(keys.join(shared, "key").where("id <> m").select("id", "m").distinct(), "ties")
-    clusters = common.materialize(components(ties, "id", "m").withColumnRenamed("component", "cluster").join(reps.select(F.col("doc_id").alias("id"), "n_shingles"), "id"), "clusters")
+    keys = classes.select("id", "sig").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(functools.partial(_keys, form=shape(percent)), "key long, id long")
+    shared = common.materialize(keys.groupBy("key").agg(F.min("id").alias("m"), F.count("*").alias("n")).where("n > 1"), "shared")
+    ties = common.materialize(keys.join(shared, "key").where("id <> m").groupBy("id", "m").agg(F.max("n").alias("n")), "ties")
+    ties = ties.where("n > 2").select("id", "m").unionByName(_near_ties(ties.where("n = 2"), classes, percent).select("id", "m"))
+    ties = common.materialize(ties, "near")
+    clusters = components(ties, "id", "m").withColumnRenamed("component", "cluster").join(classes.select("id", "rep", *names), "id")
+    clusters = common.materialize(clusters, "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("work"))
     small = (F.col("n") * F.col("work") <= local_work) & (F.col("work") <= local_shingles)
     sizes = common.materialize(sizes.withColumn("small", small), "sizes")
-    members = clusters.join(sizes.where("small").select("cluster"), "cluster").select("id", "cluster")
-    rows = d.join(members, d["doc_id"] == members["id"]).select("cluster", "id", "text")
+    members = clusters.join(sizes.where("small").select("cluster"), "cluster")
+    rows = _with_texts(d, members)
     linked = rows.repartition("cluster").sortWithinPartitions("cluster", "id").mapInArrow(_link_clusters(percent), "id long, component long")
     if not sizes.where("not small").isEmpty():
-        large = common.materialize(clusters.join(sizes.where("not small").select("cluster"), "cluster").select("id", "cluster"), "members")
-        linked = linked.unionByName(_link_large(large, ties, reps, d, percent))
-    linked = common.materialize(linked, "linked")
-    found = classes.join(linked, classes["rep"] == linked["id"], "left").select(*names, "copies", F.coalesce("component", "rep").alias("component"))
-    found = common.materialize(found, "components")
+        large = common.materialize(clusters.join(sizes.where("not small").select("cluster"), "cluster"), "members")
+        linked = linked.unionByName(_link_large(large, ties, classes, d, percent))
+    linked = common.materialize(linked.join(classes.select("id", "rep"), "id"), "linked")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = classes.select("id", *names, "copies", "rep").join(linked.select("id", "component").join(least, "component").select("id", "component_id"), "id", "left")
+    found = common.materialize(found.select(*names, "copies", F.coalesce("component_id", "rep").alias("component_id")), "components")
     total = signed.count()
-    out = common.join_by_count(known.select("doc_id", *names), found, names, "copies", total)
-    out = out.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    out = common.join_by_count(known.select("doc_id", *names), found, names, "copies", total).select("doc_id", "n_shingles", "component_id")
     alone = signed.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -621,9 +621,29 @@ def test_near_duplicates_edges(spark):
     assert near_duplicates.near_duplicates(d.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("work", [near_duplicates.LOCAL_WORK, 300])
+def test_near_duplicates_of_repeated_ids(spark, work):
+    rng = random.Random(31)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(5, a), (5, a), (5, b), (6, a + " x"), (7, b + " y"), (3, b + " z"), (8, a + " x"), (8, a + " w"), (9, prose(rng, 60)), (9, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "m": F.lit(2)}).repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(d, local_work=work).collect())
+    up = {i: i for i in range(len(rows))}  # rows are documents of their own
+    for i in range(len(rows)):
+        for j in range(i):
+            p, q = shingles(rows[i][1]), shingles(rows[j][1])
+            if p and q and 100 * len(p & q) >= 85 * len(p | q):
+                x, y = up[i], up[j]
+                up = {k: x if v == y else v for k, v in up.items()}
+    least = {}
+    for k, v in up.items():
+        least[v] = min(least.get(v, 99), rows[k][0])
+    assert got == sorted((i, len(shingles(t)), least[up[k]], i == least[up[k]]) for k, (i, t) in enumerate(rows))
+
+
 def test_all_pairs_within_the_distance_share_a_key():
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 256, near_duplicates.PARTS, dtype=np.uint8)
+    a = rng.integers(0, 1 << near_duplicates.shape(85).bits, near_duplicates.PARTS).astype(near_duplicates.shape(85).dtype)
     for _ in range(200):
         b = a.copy()
         at = rng.choice(near_duplicates.PARTS, near_duplicates.LIMIT, replace=False)
