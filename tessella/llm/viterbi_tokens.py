@@ -3,12 +3,14 @@
 The vocabulary file is read as it is; a text is the sequence of pieces of the largest total score. As no piece goes
 on from a letter to the blank mark, the best path splits at blanks, so each word is solved once for a worker's memory of words.
 Words of equal length advance together: at each end, the hashes of all substrings that end there are looked up in
-the sorted piece hashes, and the best start is a vectorised maximum. A code point outside the vocabulary costs the
-lowest score less UNKNOWN and is spelled by byte pieces, or is the unknown id where the file has none.
+the sorted piece hashes, and the best start is a vectorised maximum; scores are summed in 64 bits. A word over LONG
+code points, such as a text without blanks, advances alone: all its substrings of one length are looked up at once,
+STRETCH ends at a time, so it takes a few bytes a code point. A code point outside the vocabulary costs the lowest
+score less UNKNOWN and is spelled by byte pieces, or is the unknown id where the file has none.
 
 Blanks: each U+0020 becomes the mark U+2581, one mark is put before the text; nothing else is normalised. Decoding
 takes pieces and bytes back and drops the first mark. Null and empty texts have no ids; repeated rows are encoded
-alike; further columns are ignored; an empty table gives an empty result.
+alike, ties take the longer last piece; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from tessella.llm import common
 from tessella.llm.tokens import MEMO, WordMemo
 
 MARK, UNKNOWN = 0x2581, 10.0
+LONG, STRETCH = 64, 1 << 14
 NORMAL, UNK, CONTROL, BYTE = 1, 2, 3, 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,8 +97,8 @@ class Vocabulary(WordMemo):
         self.keys, self.piece_ids = keys[order], np.array([i for _, _, i in normal], np.int64)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
-        self.scores = np.array([s for _, s, _ in normal], np.float32)[order]
-        self.unknown_score = np.float32(self.scores.min() - UNKNOWN)
+        self.scores = np.array([s for _, s, _ in normal], np.float64)[order]
+        self.unknown_score = self.scores.min() - UNKNOWN
         self.unknown = next((i for i, (_, _, t) in enumerate(pieces) if t == UNK), 0)
         self.bytes = np.full(256, -1, np.int64)
         for i, (p, _, t) in enumerate(pieces):
@@ -116,7 +119,7 @@ class Vocabulary(WordMemo):
     def best(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best pieces of words of equal length, a row of code points each: flat ids and the words' offsets."""
         n, size = words.shape
-        best, back = np.full((size + 1, n), -np.inf, np.float32), np.zeros((size + 1, n), np.int32)
+        best, back = np.full((size + 1, n), -np.inf), np.zeros((size + 1, n), np.int32)
         piece = np.full((size + 1, n), -1, np.int64)
         best[0] = 0
         points = words.astype(np.uint64) + np.uint64(1)
@@ -125,7 +128,7 @@ class Vocabulary(WordMemo):
         for end in range(1, size + 1):
             spans = min(end, self.longest)
             h, power = np.zeros(n, np.uint64), np.uint64(1)
-            value, entry = np.empty((spans, n), np.float32), np.empty((spans, n), np.int64)
+            value, entry = np.empty((spans, n)), np.empty((spans, n), np.int64)
             for length in range(1, spans + 1):
                 h = h + points[:, end - length] * power
                 with np.errstate(over="ignore"):
@@ -151,18 +154,53 @@ class Vocabulary(WordMemo):
         ids, owner, place = np.concatenate(ids), np.concatenate(owner), np.concatenate(place)
         order = np.lexsort((place, owner))
         ids, owner = ids[order], owner[order]
-        lost = np.flatnonzero(ids < 0)
-        if len(lost):
-            spelled = [self._spell(int(-2 - ids[k])) for k in lost]
-            size = np.ones(len(ids), np.int64)
-            size[lost] = [len(s) for s in spelled]
-            out, owner = np.repeat(ids, size), np.repeat(owner, size)
-            starts = np.cumsum(size) - size
-            for k, s in zip(lost, spelled, strict=True):
-                out[starts[k] : starts[k] + len(s)] = s
-            ids = out
+        ids, size = self._spelled(ids)
+        owner = np.repeat(owner, size)
         return ids, np.searchsorted(owner, np.arange(n + 1))
 
+    def best_alone(self, word: np.ndarray) -> np.ndarray:
+        """Best pieces of one long word of code points, as best finds them."""
+        n, most = len(word), self.longest
+        points = np.concatenate([np.zeros(most, np.uint64), word.astype(np.uint64) + np.uint64(1)])
+        best = np.full(most + n + 1, -np.inf)  # best[most + e] is that of the first e code points
+        best[most] = 0
+        back, piece = np.empty(n + 1, np.int32), np.empty(n + 1, np.int64)
+        lengths = np.arange(most, 0, -1)
+        for lo in range(0, n, STRETCH):
+            ends = np.arange(lo + 1, min(lo + STRETCH, n) + 1)
+            value, entry = np.full((len(ends), most), -np.inf), np.full((len(ends), most), -1)
+            h, power = np.zeros(len(ends), np.uint64), np.uint64(1)
+            with np.errstate(over="ignore"):
+                for length in range(1, most + 1):
+                    h = h + points[most + ends - length] * power
+                    power = power * _BASE
+                    at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                    hit = (self.keys[at] == h) & (ends >= length)
+                    value[hit, -length] = self.scores[at[hit]]
+                    entry[hit, -length] = self.piece_ids[at[hit]]
+            value[entry[:, -1] < 0, -1] = self.unknown_score
+            for e, v, p in zip(ends.tolist(), value, entry, strict=True):
+                total = best[e : e + most] + v
+                k = int(total.argmax())  # of equal ones the longest, as it comes first
+                best[most + e], back[e], piece[e] = total[k], lengths[k], p[k]
+        ids, at = [], n
+        while at:
+            ids.append(piece[at] if piece[at] >= 0 else -2 - int(word[at - 1]))
+            at -= back[at]
+        return self._spelled(np.array(ids[::-1], np.int64))[0]
+
+    def _spelled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids with the lost code points, -2 - point, spelled out, and how many each has become."""
+        size, lost = np.ones(len(ids), np.int64), np.flatnonzero(ids < 0)
+        if not len(lost):
+            return ids, size
+        spelled = [self._spell(int(-2 - ids[k])) for k in lost]
+        size[lost] = [len(x) for x in spelled]
+        out, starts = np.repeat(ids, size), np.cumsum(size) - size
+        for k, x in zip(lost, spelled, strict=True):
+            out[starts[k] : starts[k] + len(x)] = x
+        return out, size
+
     def _spell(self, point: int) -> list[int]:
         got = self.bytes[list(chr(point).encode())]
         return [self.unknown] if (got < 0).any() else got.tolist()
@@ -173,6 +211,12 @@ class Vocabulary(WordMemo):
             by_size.setdefault(len(w), []).append(w)
         out, flat, sizes = [], [], []
         for length, members in by_size.items():
+            if length > LONG:
+                for w in members:
+                    out.append(w)
+                    flat.append(self.best_alone(np.frombuffer(w.encode("utf-32-le"), np.uint32)))
+                    sizes.append(np.array([len(flat[-1])]))
+                continue
             step = max(1, (1 << 20) // max(1, length))
             for lo in range(0, len(members), step):
                 part = members[lo : lo + step]

@@ -326,6 +326,41 @@ def test_viterbi_finds_the_librarys_best_path():
         assert i.tolist() == ids[off[lo] : off[min(lo + 37, len(cases))]].tolist()
 
 
+def test_viterbi_sums_exactly(monkeypatch):
+    """Words that mix unknown code points with known ones, and long ones, against a plain search in exact numbers."""
+    v, rng = viterbi_tokens.Vocabulary(viterbi_tokens.default_path()), random.Random(3)
+    with open(viterbi_tokens.default_path(), "rb") as f:
+        pieces = {p: (int(x), i) for i, (p, x, t) in enumerate(viterbi_tokens.read_pieces(f.read())) if t == viterbi_tokens.NORMAL}
+
+    def plain(word):
+        best = [(0, [])]
+        for e in range(1, len(word) + 1):
+            ways = []
+            for n in range(min(e, v.longest), 0, -1):
+                x = pieces.get(word[e - n : e])
+                if x:
+                    ways.append((best[e - n][0] + x[0], (e - n, [x[1]])))
+                elif n == 1:
+                    ways.append((best[e - 1][0] + int(v.unknown_score), (e - 1, v._spell(ord(word[e - 1])))))
+            top = max(w[0] for w in ways)
+            at, ids = next(w[1] for w in ways if w[0] == top)
+            best.append((top, (at, ids)))
+        out, e = [], len(word)
+        while e:
+            at, ids = best[e][1]
+            out, e = ids + out, at
+        return out
+
+    cases = ["▁" + "🙂" * rng.randrange(3) + "".join(rng.choice(["under", "al", "st", "and", "é", "🜁", "日", "x"]) for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    cases += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", k=n)) for n in (65, 200, 1000)] + ["▁" + "日本🙂" * 100, "e" * 500]
+    words, ids, sizes = v.solve(cases)
+    ends = np.cumsum(sizes)
+    got = {w: ids[e - n : e].tolist() for w, e, n in zip(words, ends, sizes, strict=True)}
+    assert all(got[w] == plain(w) for w in cases)
+    monkeypatch.setattr(viterbi_tokens, "STRETCH", 7)
+    assert all(v.best_alone(np.frombuffer(w.encode("utf-32-le"), np.uint32)).tolist() == got[w] for w in cases if len(w) > viterbi_tokens.LONG)
+
+
 def test_viterbi_query(docs, texts, none):
     got = {r.doc_id: r for r in viterbi_tokens.check_round_trip(docs).collect()}
     for i, t in enumerate(texts):
