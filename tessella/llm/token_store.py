@@ -4,19 +4,22 @@ One frequency table, counted over all tokens, serves all files. A file holds seg
 ascending document order; a segment's ids are cut into independent blocks, each coded by interleaved 64-bit lanes
 that renormalise by 32-bit words. A block carries its lanes' states at its start and at each checkpoint with the
 place in the word stream, and a CRC-32 of the ids between checkpoints, so blocks and the runs between checkpoints
-decode in parallel and are verified on their own.
+decode in parallel and are verified on their own. The table stands beside the files, so a folder can be read by
+itself: whole, segment by segment in as many tasks as there are, or any stretch of ids from the checkpoint before it.
 
-Layout, little-endian: file = MAGIC, crc32 of the table (u32), segments, each (SEG, head length u32, zlib head,
+Layout, little-endian: table file = TABLE, then the zlib-packed frequencies (u32). Token file = MAGIC, crc32 of the table (u32), segments, each (SEG, head length u32, zlib head,
 payload length u64, blocks). The head has, as int64, document count, first token's index, then doc_ids, null marks
 and lengths. Block = tokens u32, lanes u32, checkpoints u32, words u32, per checkpoint (words before u32, crc u32,
 states u64 x lanes), then the words u32. All paths are URIs that pyarrow's file systems open.
 
 Null texts are empty documents (the end id alone); null doc_ids come first; repeated doc_ids follow one another by
-text; an empty table gives no files and an empty result.
+text; further columns are ignored; an empty table gives no token files and an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm import common, tokens
 
-MAGIC, SEG = b"TSRANS01", b"SEG1"
+MAGIC, SEG, TABLE = b"TSRANS01", b"SEG1", b"TSRTAB01"
+TABLE_NAME = "frequencies.table"
 SCALE = 20
 LOW = 1 << 31
 LANES, STEPS, CHECK = 1024, 256, 128
@@ -56,12 +60,34 @@ class Table:
                 freq[i] += step
                 spare -= step
                 k += 1
+        self._set(freq)
+
+    def _set(self, freq: np.ndarray) -> None:
         self.freq = freq.astype(np.uint64)
         self.cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64) if len(freq) else self.freq
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
         self.crc = zlib.crc32(freq.astype("<u4").tobytes())
         self.pad = int(freq.argmax()) if len(freq) else 0
 
+    def to_bytes(self) -> bytes:
+        return TABLE + zlib.compress(self.freq.astype("<u4").tobytes())
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Table:
+        if data[: len(TABLE)] != TABLE:
+            raise ValueError("not a frequency table")
+        table = cls.__new__(cls)
+        table._set(np.frombuffer(zlib.decompress(data[len(TABLE) :]), "<u4").astype(np.int64))
+        return table
+
+
+@functools.cache
+def load_table(folder: str) -> Table:
+    """The table of a folder of token files, once for a worker process."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    with fs.open_input_stream(f"{root}/{TABLE_NAME}") as f:
+        return Table.from_bytes(f.read())
+
 
 def encode_block(ids: np.ndarray, table: Table) -> bytes:
     """One independent block of at least one id."""
@@ -111,25 +137,29 @@ def decode_run(states: np.ndarray, words: np.ndarray, steps: int, table: Table)
     return out.reshape(-1), x
 
 
-def decode_block(data: memoryview, at: int, table: Table) -> tuple[np.ndarray, int]:
-    """The ids of the block at a byte position, and where the next begins; raises on a wrong checksum."""
+def decode_block(data: memoryview, at: int, table: Table, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, int]:
+    """The ids lo to hi of the block at a byte position, and where the next begins; raises on a wrong checksum.
+
+    Only the runs that hold some of them are decoded, each from its own checkpoint.
+    """
     n, lanes, marks, sent = struct.unpack_from("<4I", data, at)
-    at += 16
-    heads = []
+    hi, at, heads = n if hi is None else min(hi, n), at + 16, []
     for _ in range(marks):
         before, crc = struct.unpack_from("<2I", data, at)
         heads.append((before, crc, np.frombuffer(data, "<u8", lanes, at + 8)))
         at += 8 + 8 * lanes
-    words = np.frombuffer(data, "<u4", sent, at).astype(np.uint64)
-    steps, parts = -(-n // lanes), []
-    for k, (before, crc, states) in enumerate(heads):
-        part, then = decode_run(states, words[before:], min(CHECK, steps - k * CHECK), table)
-        part = part[: n - k * CHECK * lanes]
+    steps, size, parts = -(-n // lanes), CHECK * lanes, []
+    for k in range(lo // size, -(-hi // size)) if lo < hi else ():
+        before, crc, states = heads[k]
+        last = k + 1 == len(heads)
+        words = np.frombuffer(data, "<u4", (sent if last else heads[k + 1][0]) - before, at + 4 * before).astype(np.uint64)
+        part, then = decode_run(states, words, min(CHECK, steps - k * CHECK), table)
+        part = part[: n - k * size]
         # the coder began where the decoder ends: at the next checkpoint's states, or at LOW
-        if zlib.crc32(part) != crc or (then != (heads[k + 1][2] if k + 1 < len(heads) else LOW)).any():
+        if zlib.crc32(part) != crc or (then != (LOW if last else heads[k + 1][2])).any():
             raise ValueError(f"checksum of checkpoint {k} differs")
-        parts.append(part)
-    return np.concatenate(parts), at + 4 * sent
+        parts.append(part[max(0, lo - k * size) : hi - k * size])
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32), at + 4 * sent
 
 
 def encode_segment(doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, start: int, ids: np.ndarray, table: Table) -> bytes:
@@ -139,23 +169,52 @@ def encode_segment(doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray,
     return SEG + struct.pack("<I", len(head)) + head + struct.pack("<Q", len(body)) + body
 
 
-def read_segments(f, table: Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]]:
-    """(doc_ids, null marks, lengths, first token's index, ids) of each segment of an open file."""
+class Segment:
+    """A segment of an open token file, at a byte position; its payload is read on demand."""
+
+    def __init__(self, f, at: int):
+        f.seek(at)
+        if f.read(4) != SEG:
+            raise ValueError("broken segment")
+        head = np.frombuffer(zlib.decompress(f.read(struct.unpack("<I", f.read(4))[0])), "<i8")
+        self.f, self.size = f, struct.unpack("<Q", f.read(8))[0]
+        self.body, n = f.tell(), int(head[0])
+        self.start, self.doc_ids, self.nulls, self.lengths = int(head[1]), head[2 : 2 + n], head[2 + n : 2 + 2 * n], head[2 + 2 * n :]
+        self.n_tokens, self.end = int(self.lengths.sum()), self.body + self.size
+
+    def ids(self, table: Table, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Its ids lo to hi."""
+        hi = self.n_tokens if hi is None else min(hi, self.n_tokens)
+        self.f.seek(self.body)
+        data, at, seen, parts = memoryview(self.f.read(self.size)), 0, 0, []
+        while at < self.size:
+            n = struct.unpack_from("<I", data, at)[0]
+            part, at = decode_block(data, at, table, max(0, lo - seen), max(0, hi - seen))
+            parts.append(part)
+            seen += n
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def segments_of(f, table: Table) -> Iterator[tuple[int, Segment]]:
+    """(byte position, segment) of an open token file, payloads unread."""
     if f.read(8) != MAGIC:
         raise ValueError("not a token file")
     if struct.unpack("<I", f.read(4))[0] != table.crc:
         raise ValueError("the file was coded with another table")
-    while (mark := f.read(4)) == SEG:
-        head = np.frombuffer(zlib.decompress(f.read(struct.unpack("<I", f.read(4))[0])), "<i8")
-        size = struct.unpack("<Q", f.read(8))[0]
-        body, at, parts = memoryview(f.read(size)), 0, []
-        while at < size:
-            ids, at = decode_block(body, at, table)
-            parts.append(ids)
-        n = int(head[0])
-        yield head[2 : 2 + n], head[2 + n : 2 + 2 * n], head[2 + 2 * n :], int(head[1]), np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    if mark:
-        raise ValueError("broken segment")
+    at, size = 12, f.size()
+    while at < size:
+        s = Segment(f, at)
+        yield at, s
+        at = s.end
+
+
+def read_ids(path: str, first: int, number: int, table: Table | None = None) -> np.ndarray:
+    """Those of the corpus's ids first to first + number that a token file holds, decoded from the checkpoints before them."""
+    table = table or load_table(path.rpartition("/")[0])
+    fs, at = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(at) as f:
+        near = [s.ids(table, max(0, first - s.start), first + number - s.start) for _, s in segments_of(f, table) if s.start < first + number and first < s.start + s.n_tokens]
+    return np.concatenate(near) if near else np.zeros(0, np.uint32)
 
 
 SEGMENTS = "pid int, seg int, start long, n_tokens long, doc_ids binary, nulls binary, lengths binary, ids binary"
@@ -235,8 +294,8 @@ def _writer(table, bases, folder: str):
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end: int = END_ID) -> tuple[DataFrame, Table]:
-    """Encode texts and write rANS files into folder (a URI of shared storage), ascending by doc_id; returns the files' paths and the table.
+def write_tokens(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end: int = END_ID) -> DataFrame:
+    """Encode texts and write rANS files and their table into folder (a URI of shared storage), ascending by doc_id; returns the files' paths.
 
     The texts are shuffled once, by range of doc_id; the ids wait in the shared folder until the table is counted.
     To the driver come at most 65,536 counts and one token total for each partition.
@@ -258,35 +317,51 @@ def write_tokens(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
             at += r.n
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/{TABLE_NAME}") as f:
+            f.write(table.to_bytes())
         share = spark.sparkContext.broadcast
         files = common.materialize(segs.mapInArrow(_writer(share(table), share(base), folder), "path string"), "token-files")
     finally:
         common.small_batches(spark)
-    return files, table
+    return files
 
 
-def _reader(table):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = table.value
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                fs, at = pafs.FileSystem.from_uri(path)
-                with fs.open_input_stream(at, buffer_size=1 << 20) as f:
-                    for doc, null, size, start, ids in read_segments(f, t):
-                        off = np.concatenate([[0], np.cumsum(size)])
-                        crc = [zlib.crc32(ids[off[k] : off[k + 1]]) for k in range(len(size))]
-                        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=null.astype(bool)), pa.array(start + off[:-1]), pa.array(size), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of the token files of a folder, at most one for each task that wrote."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    names = sorted(i.base_name for i in fs.get_file_info(pafs.FileSelector(root)) if re.fullmatch(r"part-\d+-\d+\.rans", i.base_name))
+    return spark.createDataFrame([(f"{folder}/{n}",) for n in names], "path string")
 
-    return run
+
+def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            fs, at = pafs.FileSystem.from_uri(path)
+            with fs.open_input_file(at) as f:
+                places = [k for k, _ in segments_of(f, load_table(path.rpartition("/")[0]))]
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(places), pa.string()), pa.array(places, pa.int64())], ["path", "place"])
+
+
+def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            fs, at = pafs.FileSystem.from_uri(path)
+            with fs.open_input_file(at) as f:
+                s = Segment(f, place)
+                ids = s.ids(load_table(path.rpartition("/")[0]))
+            off = np.concatenate([[0], np.cumsum(s.lengths)])
+            crc = [zlib.crc32(ids[off[k] : off[k + 1]]) for k in range(len(s.lengths))]
+            yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64(), mask=s.nulls.astype(bool)), pa.array(s.start + off[:-1]), pa.array(s.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read_tokens(files: DataFrame, table: Table) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    spark = files.sparkSession
-    spread = files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path")
-    return spread.mapInArrow(_reader(spark.sparkContext.broadcast(table)), "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read_tokens(files: DataFrame) -> DataFrame:
+    """Per document, from the files and the table beside them: doc_id, start, n_tokens, ids_crc32; a task decodes some segments."""
+    n = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    places = files.select("path").repartition(n, "path").mapInArrow(_find_segments, "path string, place long")
+    return places.repartition(n, "path", "place").mapInArrow(_read_segments, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(common.table_path(sf_dir, "documents"))
-    return read_tokens(*write_tokens(docs, common.new_path(spark, "rans")))
+    folder = common.new_path(spark, "rans")
+    write_tokens(spark.read.parquet(common.table_path(sf_dir, "documents")), folder)
+    return read_tokens(list_files(spark, folder))

@@ -410,28 +410,38 @@ def test_rans_blocks(n):
     if struct.unpack_from("<4I", block)[3]:
         with pytest.raises(ValueError):
             token_store.decode_block(memoryview(bytes(bad)), 0, table)
-    # a run decodes by itself from its checkpoint
-    _, lanes, marks, sent = struct.unpack_from("<4I", block)
-    at = 16 + (marks - 1) * (8 + 8 * lanes)
-    before, crc = struct.unpack_from("<2I", block, at)
-    words = np.frombuffer(block, "<u4", sent, 16 + marks * (8 + 8 * lanes)).astype(np.uint64)
-    steps = -(-n // lanes) - (marks - 1) * token_store.CHECK
-    tail = token_store.decode_run(np.frombuffer(block, "<u8", lanes, at + 8), words[before:], steps, table)[0][: n - (marks - 1) * token_store.CHECK * lanes]
-    assert zlib.crc32(tail) == crc and (tail == ids[n - len(tail) :]).all()
+    # a stretch decodes from the checkpoint before it, whatever stands in the runs around
+    for lo, hi in [(0, 1), (n - 1, n), (n // 3, n // 2 + 1), (n, n)]:
+        part, end = token_store.decode_block(memoryview(block), 0, table, lo, hi)
+        assert end == len(block) and (part == ids[lo:hi]).all() and len(part) == hi - lo
+    _, lanes, marks, _ = struct.unpack_from("<4I", block)
+    if marks > 1:
+        bad = bytearray(block)
+        bad[16 + 4] ^= 1  # the first run's checksum
+        assert (token_store.decode_block(memoryview(bytes(bad)), 0, table, n - 1)[0] == ids[-1:]).all()
 
 
 def test_token_files(spark, docs, texts, library, none, monkeypatch):
     monkeypatch.setattr(token_store, "SEGMENT_TOKENS", 500)
-    files, table = token_store.write_tokens(docs, common.new_path(spark, "t"))
-    got = {r.doc_id: r for r in token_store.read_tokens(files, table).collect()}
+    folder = common.new_path(spark, "t")
+    files = token_store.write_tokens(docs, folder)
+    paths = sorted(r.path for r in token_store.list_files(spark, folder).collect())
+    assert paths == sorted(r.path for r in files.collect())
+    got, every = {r.doc_id: r for r in token_store.read_tokens(token_store.list_files(spark, folder)).collect()}, []
     start = 0
     for i, t in enumerate(texts):
         ids = np.array([*library(t), 2], "<u4")
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids)), i
         start += len(ids)
-    assert token_store.read_tokens(*token_store.write_tokens(none, common.new_path(spark, "t"))).count() == 0
+        every.append(ids)
+    every = np.concatenate(every)
+    for first, number in [(0, 5), (490, 30), (start // 2, 2000), (start - 3, 10)]:  # by another process's means: paths alone
+        token_store.load_table.cache_clear()
+        assert np.concatenate([token_store.read_ids(p, first, number) for p in paths]).tolist() == every[first : first + number].tolist()
+    again = lambda d: token_store.read_tokens(token_store.write_tokens(d, common.new_path(spark, "t")))
+    assert again(none).count() == 0
     nulls = spark.createDataFrame([(None, "a b"), (1, None)], "doc_id long, text string")
-    assert {(r.doc_id, r.start) for r in token_store.read_tokens(*token_store.write_tokens(nulls, common.new_path(spark, "t"))).collect()} == {(None, 0), (1, 3)}
+    assert {(r.doc_id, r.start) for r in again(nulls).collect()} == {(None, 0), (1, 3)}
 
 
 def check_packing(rows, capacity):
