@@ -1,21 +1,27 @@
 """Secret scans: pattern kinds, and strings whose novelty a dictionary-primed Zstandard coder measures.
 
-Kinds assign, access and hex are patterns. A candidate of kind novel is a run of token characters of MIN_TOKEN or
-more near a sensitive word; it (of both cases or with digits) is compressed after the text around it, by a coder primed with common identifiers,
-and reported if it takes over so many bits a character more than the text alone: MIN_BITS, or LOW_BITS if it has no capitals
-but digits as random strings have, whose common characters cost less. Keys and random strings do, words and common
-identifiers do not. Its other occurrences around are left out, so that a key shown twice is as new as one shown once. In a run with names in it,
-NAME=VALUE or sk_..., each value is measured for itself with its name as context; if none is novel, the run is measured
-as a whole. Patterns' spans stay as they are; novel ones that overlap them are left out. Whole texts are scanned as bytes; spans count code points, ends exclusive.
-
-Null and empty texts have no spans; repeated rows are scanned alike; further columns are ignored; an empty table
-gives an empty result.
+Kinds assign, access and hex are patterns. A candidate of kind novel is a run of token characters of MIN_TOKEN or more
+with a sensitive word near it, before or after; it (of both cases or with digits) is compressed after the text around
+it, by a coder primed with common identifiers and with the corpus's own commonest ones, and reported if it takes over
+so many bits a character more than the text alone: MIN_BITS, or LOW_BITS if it has no capitals but digits as random
+strings have, whose common characters cost less. Keys and random strings do, words and common identifiers do not,
+nor what is half made of them. Its
+other occurrences around are left out, so that a key shown twice is as new as one shown once. In a run with names in
+it, NAME=VALUE or sk_..., each value is measured for itself with its name as context; if none is novel, the run is
+measured as a whole. Patterns' spans stay as they are; novel ones that overlap them are left out. Whole texts are
+scanned as bytes; spans count code points, ends exclusive.
+
+Null and empty texts have no spans; long texts take time in proportion; repeated rows are scanned alike, and copies
+count for the corpus's identifiers; ties among these go by name; further columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +38,12 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 MIN_VALUE, MIN_HEX = 6, 24
 #: Words that make the bytes before a candidate a sensitive context.
 SENSITIVE = re.compile(rb"secret|token|passw|api_?key|access|auth|bearer|credential|private|signature|session|cookie|login|sk_|pk_|key")
-MIN_TOKEN, BEFORE, AROUND, MIN_BITS, MIN_LETTERS = 16, 48, 512, 6.8, 4
+MIN_TOKEN, NEAR, AROUND, MIN_BITS, MIN_LETTERS = 16, 48, 512, 6.8, 4
+#: An identifier of the corpus: a run of token characters without digits, too short for a candidate, so no part of a key is one.
+IDENTIFIER = re.compile(rb"(?<![A-Za-z0-9+/_=.-])[A-Za-z_]{4,%d}(?![A-Za-z0-9+/_=-])" % (MIN_TOKEN - 1))
+PARTS = re.compile(rb"[A-Z]?[a-z]{3,}|[A-Z]{4,}|(?<![A-Za-z0-9])[A-Za-z]{1,3}(?![A-Za-z0-9])")
+#: So many of the corpus's identifiers prime the coder, the commonest last, where they cost least; a top-k by feature.
+COMMONEST = 2000
 #: Bits a character of candidates without capitals, one in SOME_DIGITS or more of whose characters is a digit.
 LOW_BITS, SOME_DIGITS = 5.4, 8
 #: What may stand at either end of a key but is no part of it, such as a full stop.
@@ -78,13 +89,45 @@ def runs(mask: np.ndarray, off: np.ndarray, least: int) -> list[tuple[np.ndarray
     return starts[ok], ends[ok]
 
 
+def _count_identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the texts of a task, handed on whenever a million have gathered."""
+
+    def out(n: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
+    n: Counter = Counter()
+    for batch in batches:
+        b, off = common.text_buffer(batch.column(0))
+        for lo, hi in common.groups(off):  # no word goes on over a line end, so rows are joined by one
+            n.update(IDENTIFIER.findall(b"\n".join(b[off[i] : off[i + 1]].tobytes() for i in range(lo, hi))))
+            if len(n) > 1_000_000:
+                yield out(n)
+                n = Counter()
+    yield out(n)
+
+
+def common_identifiers(docs: DataFrame, text: str = "text", most: int = COMMONEST) -> list[str]:
+    """The corpus's commonest identifiers, the commonest last; all texts are counted."""
+    common.small_batches(docs.sparkSession)
+    counts = docs.select(F.col(text)).mapInArrow(_count_identifiers, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in reversed(counts.orderBy(F.desc("n"), "word").limit(most).collect())]
+
+
 class Novelty:
     """Marginal compressed size of a string after its surroundings."""
 
-    def __init__(self):
-        dictionary = zstandard.ZstdCompressionDict((IDENTIFIERS + " " + IDENTIFIERS.upper()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, identifiers: list[str] | None = None):
+        known = " ".join([*(identifiers or []), IDENTIFIERS, IDENTIFIERS.upper()]).encode()
+        dictionary = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        dictionary.precompute_compress(level=3)
+        self.known = frozenset(w for w in re.findall(rb"[a-z]+", known.lower()) if len(w) >= 4)
         self.press = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
 
+    def composed(self, text: bytes) -> bool:
+        """Half of the letters and digits or more are words of the dictionary or short ones between marks."""
+        words = sum(len(w) for w in PARTS.findall(text) if len(w) < 4 or w.lower() in self.known)
+        return 2 * words >= len(re.findall(rb"[A-Za-z0-9]", text))
+
     def bits(self, before: bytes, text: bytes, after: bytes) -> float:
         """Bits a character that text adds to before and after."""
         plain = PROSE + before + after
@@ -122,8 +165,26 @@ def parts(text: bytes, s: int, e: int) -> list[tuple[int, int, int]]:
     return [x for x in out if x[2] - x[1] >= MIN_TOKEN]
 
 
-def _overlaps(base: list[tuple[int, int, int]], s: int, e: int) -> bool:
-    return any(a < e and s < z for a, _, z in base)
+class Covered:
+    """Ranges that spans cover, joined where they overlap."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts, self.ends = [], []
+        for s, _, e in spans:  # ascending
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, s: int, e: int) -> bool:
+        k = bisect_left(self.starts, e) - 1  # the last range that begins before e
+        return k >= 0 and self.ends[k] > s
+
+
+def sensitive(low: bytes, name: int, s: int, e: int) -> bool:
+    """A sensitive word within NEAR bytes before a candidate, or in its name, or within NEAR bytes after it."""
+    return bool(SENSITIVE.search(low, max(0, min(name, s - NEAR)), s) or SENSITIVE.search(low, e, e + NEAR))
 
 
 def scan(text: bytes, hex_runs: list[tuple[int, int]], token_runs: list[tuple[int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
@@ -133,21 +194,23 @@ def scan(text: bytes, hex_runs: list[tuple[int, int]], token_runs: list[tuple[in
     if b"AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(s, 2, e) for s, e in hex_runs]
-    base = sorted(found)
+    base = Covered(sorted(found))
 
     def novel(s: int, e: int) -> bool:
         letters = re.sub(rb"[^A-Za-z]", b"", text[s:e])
         if len(letters) < MIN_LETTERS or (letters == letters.lower() or letters == letters.upper()) and not re.search(rb"[0-9]", text[s:e]):
             return False  # a number, a date or a plain word
+        if novelty.composed(text[s:e]):
+            return False
         before, after = around(text, s, e)
         return novelty.bits(before, text[s:e], after) > least_bits(text[s:e])
 
     for s, e in token_runs:  # a run without names is its only part
         own = parts(text, s, e)
-        values = [(v, z) for at, v, z in own if not _overlaps(base, v, z) and SENSITIVE.search(low, max(0, min(at, v - BEFORE)), v) and novel(v, z)]
+        values = [(v, z) for at, v, z in own if not base.meets(v, z) and sensitive(low, at, v, z) and novel(v, z)]
         if values:
             found += [(v, 3, z) for v, z in values]
-        elif own != [(s, s, e)] and not _overlaps(base, s, e) and SENSITIVE.search(low, max(0, s - BEFORE), s) and novel(s, e):
+        elif own != [(s, s, e)] and not base.meets(s, e) and sensitive(low, s, s, e) and novel(s, e):
             found.append((s, 3, e))
     return sorted(found)
 
@@ -176,8 +239,8 @@ def _said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    novelty = Novelty()
+def _scan_batches(batches: Iterator[pa.RecordBatch], identifiers: list[str]) -> Iterator[pa.RecordBatch]:
+    novelty = Novelty(identifiers)
     for batch in batches:
         b, off = common.text_buffer(batch.column(1))
         out: list[tuple] = []
@@ -192,19 +255,18 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_novel, base_sha256 and spans of every document; no shuffle."""
-    common.small_batches(docs.sparkSession)
+    """doc_id, n_assign, n_access, n_hex, n_novel, base_sha256 and spans of every document; texts are not shuffled."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return d.mapInArrow(_scan_batches, f"doc_id {dict(d.dtypes)['doc_id']}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    known = common_identifiers(d)
+    return d.mapInArrow(lambda it: _scan_batches(it, known), f"doc_id {dict(d.dtypes)['doc_id']}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs with each span of text, joined with those it overlaps, replaced by mask; other columns as they are."""
-    common.small_batches(docs.sparkSession)
-    at = docs.columns.index(text)
+    at, known = docs.columns.index(text), common_identifiers(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(known)
         for batch in batches:
             col = batch.column(at)
             b, off = common.text_buffer(col)

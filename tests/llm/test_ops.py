@@ -227,6 +227,51 @@ def test_novelty_by_alphabet():
         assert missed <= 14, size  # of 200; short ones for want of digits
 
 
+def test_context_after_and_common_identifiers(spark):
+    rng = random.Random(21)
+    key, made = "q7Hf2LzPx9Wc4TnB8vKs3RdY", "getTesserVarnishBundleOrder"
+    rows = [f"{key} is the new session of ours", f"bring {key} home", f"the access word {made} once", *(f"call {made[:14]} {made[14:]} now" for _ in range(50))]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(d).collect()}
+    assert got[0] == f"novel:0:{len(key)}" and got[1] == "" and got[2] == ""
+    assert made[:14] in secret_scan.common_identifiers(d) and key not in secret_scan.common_identifiers(d)
+    # what the corpus commonly says costs fewer bits than what it never says
+    plain, primed = secret_scan.Novelty(), secret_scan.Novelty(secret_scan.common_identifiers(d))
+    assert primed.bits(b"", made.encode(), b"") < plain.bits(b"", made.encode(), b"") - 1
+    assert primed.bits(b"", key.encode(), b"") > secret_scan.MIN_BITS
+
+
+def test_planted_novel_secrets(spark):
+    """Recall and false alarms of the method over planted strings: keys of three alphabets, and what looks like keys but is said elsewhere."""
+    rng, rows, planted = random.Random(22), [], {}
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    for i in range(600):
+        if i % 3 == 0:
+            planted[i] = "".join(rng.choices(alphabets[i // 3 % 3], k=rng.choice([24, 32, 40])))
+            rows.append((i, f"{prose(rng, 80)} the {rng.choice(['session', 'private key', 'auth', 'credential'])} is {planted[i]} {prose(rng, 50)}"))
+        elif i % 3 == 1:
+            rows.append((i, f"{prose(rng, 80)} the private key is in {'_'.join(rng.choices(WORDS, k=6))}_2024 {prose(rng, 50)}"))
+        else:
+            rows.append((i, prose(rng, 130)))
+    got = {r.doc_id: r.n_novel for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == 1 for i in planted) >= 0.97 * len(planted)
+    assert sum(got[i] > 0 for i in got if i not in planted) <= 4
+
+
+def test_secrets_of_long_texts_take_time_in_proportion():
+    import time
+
+    novelty, rng = secret_scan.Novelty(), random.Random(23)
+    took = []
+    for n in (4000, 40_000):
+        t = " ".join(f"{rng.getrandbits(128):032x} wordlikeRun{k}OfTokens_{k}" for k in range(n)).encode()
+        b, at = np.frombuffer(t, np.uint8), time.perf_counter()
+        ((_, spans),) = secret_scan._rows(b, np.array([0, len(b)]), novelty)
+        took.append(time.perf_counter() - at)
+        assert sum(x[1] == 2 for x in spans) == n
+    assert took[1] < 30 * took[0] + 1
+
+
 # ---- 4 ----
 
 
