@@ -7,10 +7,11 @@ span that a loss mask keeps, which is content and end mark of the assistant's se
 perspective's segments by seq gives its text; no task holds a whole dialogue as a string, and the running offsets
 are summed by blocks of turns, so one conversation with a third of all rows is spread over many tasks.
 
-Null conv_ids form a conversation of their own; a null role is a participant named "unknown"; a null turn comes
-first; a null text is empty; turns that repeat are ordered by role and text and all kept; a conversation of system
-turns alone has no perspective; further columns are ignored; an empty table gives an empty result. Blanks and
-marks in a role's name are replaced by "_", so a name cannot end a header.
+Null conv_ids form a conversation of their own; a null role is a participant of its own named "unknown"; a null turn
+comes first; a null text is empty; turns that repeat are ordered by role and text and all kept; a conversation of system
+turns alone has no perspective; further columns are ignored; an empty table gives an empty result. A role of letters, digits and "_.-" is its participant's name; others
+are percent-encoded, so a name cannot end a header and no two roles share one. Marks of the format inside a text get a
+blank in their middle, so a text cannot end its turn.
 """
 
 from __future__ import annotations
@@ -22,13 +23,21 @@ from pyspark.sql import functions as F
 from tessella.llm import common
 
 SYSTEM, UNKNOWN = "system", "unknown"
+PLAIN = r"^[\p{L}\p{N}_.-]+$"
 HEAD, BREAK, END = "<|im_start|>", "\n", "<|im_end|>\n"
 #: Turns of a conversation that one block of the running sums holds.
 BLOCK = 1024
 
 
 def speaker_of(role: Column) -> Column:
-    return F.regexp_replace(F.coalesce(role, F.lit(UNKNOWN)), "[^\\p{L}\\p{N}_.-]", "_")
+    """A name for each role, none for two; what is encoded holds "%", "+" or "*", and so does a role called like none."""
+    plain = role.rlike(PLAIN) & (role != UNKNOWN)
+    return F.when(role.isNull(), F.lit(UNKNOWN)).when(plain, role).when(role == UNKNOWN, F.lit(f"%{UNKNOWN}")).otherwise(F.concat(F.url_encode(role), F.when(role.rlike("^[A-Za-z0-9]*$"), "%").otherwise("")))
+
+
+def harmless(text: Column) -> Column:
+    """The text without marks of the format."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"<\|(im_start|im_end)\|>", "<| $1|>")
 
 
 def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -37,7 +46,7 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     Offsets are code points of the perspective's whole text; mask_start and mask_end are null outside the loss.
     The perspectives of a conversation are as many as its participants, so rows are turns times participants.
     """
-    t = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), speaker_of(F.col(role)).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    t = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), speaker_of(F.col(role)).alias("speaker"), harmless(F.col(text)).alias("text"))
     people = t.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     rows = t.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     mine = F.col("speaker") == F.col("perspective")
