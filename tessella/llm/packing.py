@@ -8,7 +8,8 @@ take the rounded ones' places, and what is left, the small ones above all, goes
 Spark ranks the pieces of each length and each piece reads its place off the plan.
 
 Null texts are empty (the end id alone, one piece); null or repeated doc_ids are kept as they are, each row is
-packed; further columns are ignored; an empty table gives an empty result.
+packed; pieces of equal length are interchangeable, so their order among themselves is any; long texts are cut into
+pieces of `capacity`; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ from tessella.llm import common, tokens
 CAPACITY, END_ID = 2048, 0
 #: Lengths over capacity / LARGE_PART are large and come in at most GROUPS groups.
 LARGE_PART, GROUPS, ROUNDS = 3, 64, 1500
-#: Of each configuration this share is laid out; the pieces of the rest go best-fit with the small ones.
-SHARE = 0.5
 
 
 def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
@@ -108,7 +107,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, lar
         need = np.zeros(len(sizes))
         np.add.at(need, np.searchsorted(-sizes, -np.array(large), "right") - 1, left[large])
         stock = sorted(large)  # lengths still there, ascending
-        found = [(p, int(SHARE * x + 1e-6)) for p, x in configurations(sizes, need, capacity)]
+        found = [(p, int(x + 1e-6)) for p, x in configurations(sizes, need, capacity)]
         for pattern, m in sorted(found, key=lambda f: tuple(-f[0])):
             if not m:
                 continue
