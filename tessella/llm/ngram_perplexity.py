@@ -3,7 +3,7 @@
 Spark counts all 4-grams of all texts; the smoothed model is a sorted array of 24-bit n-gram hashes
 (collision-free: four 6-bit classes side by side) with log probabilities, plus dense lower orders. Its size is
 bounded by the alphabet, 2**24 entries, whatever the corpus, so it may be broadcast. Each language has a lower
-and an upper perplexity band from the quartiles of all its documents; texts outside are rejected.
+and an upper perplexity band from the quartiles of all its distinct texts; texts outside are rejected.
 
 Null texts have no words and fail the base rules; null languages form a language of their own; repeated rows
 are scored alike; further columns are ignored; an empty table gives an empty result.
@@ -25,8 +25,9 @@ ORDER, BITS = 4, 6
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 #: A text of n bytes deviates from its language's median log perplexity by t / sqrt(n); the bands are the quartiles
-#: of t over all documents of the language, SPREAD times their distance further out, and TOLERANCE beyond that.
-SPREAD, TOLERANCE = 4.0, 0.01
+#: of t over all distinct texts of the language, SPREAD times their distance, or NARROWEST if that is less, further out,
+#: and TOLERANCE beyond that. So a group of copies, however large, counts once and cannot narrow the band to itself.
+SPREAD, NARROWEST, TOLERANCE = 4.0, 0.5, 0.01
 
 
 def _classes() -> np.ndarray:
@@ -247,12 +248,16 @@ def _quantiles(df: DataFrame, value: Column, step: float, at: dict[str, float])
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """(lang_key, mid, low_t, high_t): each language's median log perplexity and bounds of its scaled deviations."""
-    good = scored.where(~F.col("base_failed"))
+    """(lang_key, mid, low_t, high_t): each language's median log perplexity and bounds of its scaled deviations.
+
+    scored holds text_key, a hash of the text; equal texts of a language count once.
+    """
+    good = scored.where(~F.col("base_failed")).groupBy("lang_key", "text_key", "n_bytes").agg(F.min("log_perplexity").alias("log_perplexity"))
+    good = common.materialize(good, "distinct")
     mid = common.small_side(_quantiles(good, F.col("log_perplexity"), 0.001, {"mid": 0.5}), "medians")
     t = (F.col("log_perplexity") - F.col("mid")) * F.sqrt("n_bytes")
     q = _quantiles(good.join(mid, "lang_key"), t, 0.01, {"q1": 0.25, "q3": 0.75})
-    wide = SPREAD * (F.col("q3") - F.col("q1"))
+    wide = SPREAD * F.greatest(F.col("q3") - F.col("q1"), F.lit(NARROWEST))
     return mid.join(q, "lang_key").select("lang_key", "mid", (F.col("q1") - wide).alias("low_t"), (F.col("q3") + wide).alias("high_t"))
 
 
@@ -264,10 +269,10 @@ def score_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     kn = spark.sparkContext.broadcast(model or fit(d))
     kinds = dict(d.dtypes)
-    rows = d.mapInArrow(_scorer(kn, ["doc_id", "lang"]), f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, log_perplexity double")
+    rows = d.mapInArrow(_scorer(kn, ["doc_id", "lang", "text_key"]), f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, log_perplexity double")
     rows = rows.withColumn("base_failed", base_failed()).withColumn("lang_key", F.coalesce(F.col("lang").cast("string"), F.lit("")))
     rows = common.materialize(rows, "perplexity")
     root = F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))

@@ -115,6 +115,14 @@ def test_quality_rejects_odd_text(spark):
     assert all(got[i] for i in range(200)) and not got[1000] and not got[1001]
 
 
+def test_quality_bands_count_copies_once(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randrange(40, 300)), "en") for i in range(120)]
+    rows += [(1000 + i, rows[7][1], "en") for i in range(900)] + [(2000 + i, rows[8][1] if i % 2 else None, "de") for i in range(40)]
+    got = {r.doc_id: r.kept for r in ngram_perplexity.score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("text_key", F.lit(1))).collect()}
+    assert all(got[i] for i in range(120)) and all(got[1000 + i] for i in range(900)) and all(got[2000 + i] == bool(i % 2) for i in range(40))
+
+
 def test_quality_empty(none):
     assert ngram_perplexity.score_quality(none).count() == 0
 
