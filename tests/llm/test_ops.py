@@ -117,10 +117,12 @@ def test_quality_rejects_odd_text(spark):
 
 def test_quality_bands_count_copies_once(spark):
     rng = random.Random(6)
-    rows = [(i, prose(rng, rng.randrange(40, 300)), "en") for i in range(120)]
-    rows += [(1000 + i, rows[7][1], "en") for i in range(900)] + [(2000 + i, rows[8][1] if i % 2 else None, "de") for i in range(40)]
-    got = {r.doc_id: r.kept for r in ngram_perplexity.score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("text_key", F.lit(1))).collect()}
-    assert all(got[i] for i in range(120)) and all(got[1000 + i] for i in range(900)) and all(got[2000 + i] == bool(i % 2) for i in range(40))
+    rows = [(i, "en", i, rng.randrange(400, 4000), rng.gauss(2, 0.02)) for i in range(200)]
+    flat = [(1000 + i, "en", 7, rows[7][3], rows[7][4]) for i in range(5000)] + [(9000 + i, "de", 1, 500, 1.5) for i in range(50)]
+    cols = "doc_id long, lang_key string, text_key long, n_bytes long, log_perplexity double"
+    one, many = ({r.lang_key: r for r in ngram_perplexity.bands(spark.createDataFrame(x, cols).withColumn("base_failed", F.lit(False))).collect()} for x in (rows, rows + flat))
+    assert one["en"] == many["en"]
+    assert many["de"].high_t - many["de"].low_t >= 8 * ngram_perplexity.NARROWEST
 
 
 def test_quality_empty(none):
