@@ -124,8 +124,15 @@ def sequence(ctx, n, m=None, start=None, step=None):
 @fn("RANDARRAY")
 def randarray(ctx, n=None, m=None, lo=None, hi=None, whole=None):
     a, b = num(lo) if lo is not None else F.lit(0.0), num(hi) if hi is not None else F.lit(1.0)
-    seed = F.rand()
-    return array(F.transform(F.sequence(F.lit(1), num(n).cast("int") if n is not None else F.lit(1)), lambda i: a + (b - a) * F.pmod(F.xxhash64(seed, i), F.lit(1 << 30)) / float(1 << 30)))
+    seed, k = F.rand(), num(n).cast("int") if n is not None else F.lit(1)
+    unit = lambda *at: F.pmod(F.xxhash64(seed, *at), F.lit(1 << 30)) / float(1 << 30)
+    if whole is not None and whole.literal:
+        value = lambda *at: F.floor(a + (b - a + 1) * unit(*at)).cast("double")
+    else:
+        value = lambda *at: a + (b - a) * unit(*at)
+    if m is None or m.kind == "blank":
+        return array(F.transform(F.sequence(F.lit(1), k), lambda i: value(i)))
+    return matrix(F.transform(F.sequence(F.lit(1), k), lambda i: F.transform(F.sequence(F.lit(1), num(m).cast("int")), lambda j: value(i, j))))
 
 
 @fn("MUNIT")
@@ -136,9 +143,12 @@ def munit(ctx, n):
 
 @fn("MMULT")
 def mmult(ctx, a, b):
-    t = transposed(rows_of(b))
+    left, right = rows_of(a), rows_of(b)
+    if b.kind == "array":  # a row, or a column if that is what fits
+        right = F.when(F.size(F.get(left, 0)) == F.size(b.col), F.transform(b.col, lambda x: F.array(x))).otherwise(right)
+    t = transposed(right)
     dot = lambda r, c: F.aggregate(F.zip_with(r, c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return matrix(F.transform(rows_of(a), lambda r: F.transform(t, lambda c: dot(r, c))), err=bad(F.size(F.get(rows_of(a), 0)) != F.size(rows_of(b)), "#VALUE!"))
+    return matrix(F.transform(left, lambda r: F.transform(t, lambda c: dot(r, c))), err=bad(F.size(F.get(left, 0)) != F.size(right), "#VALUE!"))
 
 
 @F.pandas_udf(T.DoubleType())

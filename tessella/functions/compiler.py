@@ -8,6 +8,7 @@ single row.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -79,6 +80,12 @@ class Function:
     catches: bool = False
     lazy: bool = False
 
+    def takes(self, number: int) -> bool:
+        """Whether it has a use for so many arguments."""
+        places = [p for p in inspect.signature(self.build).parameters.values() if p.name != "env"][1:]
+        most = float("inf") if any(p.kind == p.VAR_POSITIONAL for p in places) else len(places)
+        return sum(p.kind == p.POSITIONAL_OR_KEYWORD and p.default is p.empty for p in places) <= number <= most
+
 
 #: NAME -> function; filled by the modules of this package and by register().
 REGISTRY: dict[str, Function] = {}
@@ -238,8 +245,10 @@ class Context:
         if f is None:
             return Val(F.lit(None).cast("double"), F.lit("#NAME?"), "num")
         if f.lazy:
-            return f.build(self, *args, env=env)
+            return f.build(self, *args, env=env) if f.takes(len(args)) else Val(F.lit(None).cast("double"), F.lit("#VALUE!"), "num")
         values = [self.walk(a, env) for a in args]
+        if not f.takes(len(values)):
+            return Val(F.lit(None).cast("double"), F.lit("#VALUE!"), "num")
         out = f.build(self, *values)
         if not f.catches:
             out.err = first_error(*[v.err for v in values], out.err)

@@ -444,17 +444,24 @@ bond("DURATION", bond_duration)
 bond("MDURATION", lambda s, m, r, y, freq, basis=0.0: bond_duration(s, m, r, y, freq, basis) / (1 + y / freq))
 
 
+def _quasi(at: dt.date, step: int, basis: float, way: int) -> float:
+    """Days of the coupon period of step months that begins or ends at a date."""
+    if basis == 1:
+        return abs((_months(at, way * step) - at).days)
+    return (365 if basis == 3 else 360) * step / 12
+
+
 def odd_last_price(s, m, last, r, y, redeem, freq, basis=0.0):
     settle, mature, before = (dt.date(1970, 1, 1) + dt.timedelta(int(x)) for x in (s, m, last))
-    period = 360 / freq if basis in (0, 2, 4) else 365 / freq
+    period = _quasi(before, int(12 / freq), basis, 1)
     a, d, left = (_frac(p, q, int(basis)) / period for p, q in ((before, settle), (before, mature), (settle, mature)))
     return (redeem + 100 * r / freq * d) / (1 + left * y / freq) - 100 * r / freq * a
 
 
 def odd_first_price(s, m, issue, first, r, y, redeem, freq, basis=0.0):
     settle, mature, iss, fst = (dt.date(1970, 1, 1) + dt.timedelta(int(x)) for x in (s, m, issue, first))
-    step, period = int(12 / freq), 360 / freq if basis in (0, 2, 4) else 365 / freq
-    n = 0
+    step = int(12 / freq)
+    period, n = _quasi(fst, step, basis, -1), 0
     while _months(mature, -n * step) > fst:
         n += 1
     odd, done, left = (_frac(p, q, int(basis)) / period for p, q in ((iss, fst), (iss, settle), (settle, fst)))

@@ -98,6 +98,23 @@ def countblank(ctx, a):
     return number(ctx.agg(F.count_if(a.col.isNull() | (a.col.cast("string") == ""))))
 
 
+def _to_multiple(name: str, whole):
+    """The multiple of a step, 1 if left out, that whole(x / step) names; a negative step turns the direction."""
+
+    @fn(name)
+    def build(ctx, a, step=None):
+        x = num(a)
+        if step is None:
+            return number(whole(x), bad(x.isNull(), "#VALUE!"))
+        s = num(step)
+        wrong = (x > 0) & (s < 0)
+        return number(F.when(~wrong, F.when(s == 0, 0.0).otherwise(whole(F.try_divide(x, s)) * s)), first_error(bad(x.isNull() | s.isNull(), "#VALUE!"), bad(wrong, "#NUM!")))
+
+
+_to_multiple("FLOOR", F.floor)
+_to_multiple("CEILING", F.ceil)
+
+
 def simple(name: str, f, domain=None, code: str = "#NUM!"):
     """A function of one number; domain(x) says where it is defined."""
 
@@ -113,7 +130,7 @@ def simple(name: str, f, domain=None, code: str = "#NUM!"):
 
 
 for _name, _f in {
-    "ABS": F.abs, "FLOOR": F.floor, "CEILING": F.ceil, "INT": F.floor, "EXP": F.exp, "RADIANS": F.radians, "DEGREES": F.degrees, "SIN": F.sin, "COS": F.cos, "TAN": F.tan,
+    "ABS": F.abs, "INT": F.floor, "EXP": F.exp, "RADIANS": F.radians, "DEGREES": F.degrees, "SIN": F.sin, "COS": F.cos, "TAN": F.tan,
     "ATAN": F.atan, "SINH": F.sinh, "COSH": F.cosh, "TANH": F.tanh, "ASINH": F.asinh, "SIGN": F.signum, "SEC": lambda x: 1 / F.cos(x), "SECH": lambda x: 1 / F.cosh(x),
     "EVEN": lambda x: F.signum(x) * 2 * F.ceil(F.abs(x) / 2), "ODD": lambda x: F.when(x == 0, 1.0).otherwise(F.signum(x) * (2 * F.ceil((F.abs(x) - 1) / 2) + 1)),
 }.items():
@@ -125,6 +142,8 @@ simple("ASIN", F.asin, lambda x: F.abs(x) <= 1)
 simple("ACOS", F.acos, lambda x: F.abs(x) <= 1)
 simple("ACOSH", F.acosh, lambda x: x >= 1)
 simple("ATANH", F.atanh, lambda x: F.abs(x) < 1)
+for _name, _f in {"CSC": F.sin, "COT": F.tan, "CSCH": F.sinh, "COTH": F.tanh}.items():
+    simple(_name, lambda x, f=_f: F.try_divide(F.lit(1.0), f(x)), lambda x: x != 0, "#DIV/0!")
 simple("SQRTPI", lambda x: F.sqrt(x * math.pi), lambda x: x >= 0)
 simple("FACT", lambda x: F.aggregate(F.sequence(F.lit(0), F.floor(x).cast("int")), F.lit(1.0), lambda s, i: s * F.when(i == 0, 1.0).otherwise(i.cast("double"))), lambda x: (x >= 0) & (x <= 170))
 simple("FACTDOUBLE", lambda x: F.aggregate(F.filter(F.sequence(F.lit(0), F.floor(x).cast("int")), lambda i: (i > 0) & (i % 2 == F.floor(x).cast("int") % 2)), F.lit(1.0), lambda s, i: s * i), lambda x: (x >= 0) & (x <= 300))

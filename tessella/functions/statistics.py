@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessella.functions.arrays import array, flat
-from tessella.functions.compiler import Val, bad, fn, num
+from tessella.functions.compiler import Val, bad, first_error, fn, num
 from tessella.functions.mathematics import aggregate, all_cells, cells, fold, number, range_col
 from tessella.operators.joins import wildcard_pattern
 
@@ -251,72 +251,105 @@ def _tests(pairs) -> Column:
     return functools.reduce(lambda a, b: a & b, tests)
 
 
-def _array_if(items: Val, v: Val):
-    return F.transform(flat(items), lambda x: F.coalesce(criterion(x, items.body, v), F.lit(False)))
+def _array_tests(pairs) -> Column:
+    """A truth value for each place of the first array, whether all arrays meet their criteria there."""
+    arrays = [flat(r) for r in pairs[::2]]
+    places = F.sequence(F.lit(0), F.greatest(F.size(arrays[0]) - 1, F.lit(0)))
+    at = lambda i: functools.reduce(lambda p, q: p & q, [F.coalesce(criterion(F.get(x, i), r.body, v), F.lit(False)) for x, r, v in zip(arrays, pairs[::2], pairs[1::2], strict=True)])
+    return F.transform(F.slice(places, 1, F.size(arrays[0])), at)
+
+
+def _met(out: Val, pairs) -> Column:
+    """The numbers of an array at the places where the pairs' arrays meet their criteria."""
+    both = F.arrays_zip(_array_tests(pairs).alias("t"), cells(out).alias("x"))
+    return F.transform(F.filter(both, lambda s: s["t"] & s["x"].isNotNull()), lambda s: s["x"])
 
 
 @fn("COUNTIF", "COUNTIFS")
 def countif(ctx, *pairs):
     if pairs[0].kind != "range":
-        return number(F.size(F.filter(_array_if(pairs[0], pairs[1]), lambda x: x)))
+        return number(F.size(F.filter(_array_tests(pairs), lambda x: x)))
     return number(ctx.agg(F.count_if(_tests(pairs))))
 
 
-@fn("SUMIF")
-def sumif(ctx, r, v, out=None):
-    if r.kind != "range":
-        z = F.zip_with(_array_if(r, v), cells(out or r), lambda t, x: F.when(t, F.coalesce(x, F.lit(0.0))).otherwise(0.0))
-        return number(fold(z, 0, lambda s, x: s + x))
-    return number(ctx.agg(F.coalesce(F.sum(F.when(criterion(r.col, r.body, v), range_col(out or r))), F.lit(0.0))))
+def _ifs(name, f, over, empty, last: bool = False):
+    """f over a column or over an array of the numbers that meet all criteria; last: the numbers are the third argument."""
 
+    def value(ctx, out, pairs):
+        c = ctx.agg(f(F.when(_tests(pairs), range_col(out)))) if out.kind == "range" else over(_met(out, pairs))
+        return number(c, bad(c.isNull(), "#DIV/0!")) if empty is None else number(F.coalesce(c, F.lit(empty)))
 
-@fn("AVERAGEIF")
-def averageif(ctx, r, v, out=None):
-    c = ctx.agg(F.avg(F.when(criterion(r.col, r.body, v), range_col(out or r))))
-    return number(c, bad(c.isNull(), "#DIV/0!"))
+    if last:
+        fn(name)(lambda ctx, r, v, out=None: value(ctx, out or r, (r, v)))
+    else:
+        fn(name)(lambda ctx, out, r, v, *pairs: value(ctx, out, (r, v, *pairs)))
 
 
-def _ifs(name, f, empty):
-    @fn(name)
-    def build(ctx, out, *pairs):
-        c = ctx.agg(f(F.when(_tests(pairs), range_col(out))))
-        return number(c, bad(c.isNull(), "#DIV/0!")) if empty is None else number(F.coalesce(c, F.lit(empty)))
+_total = lambda a: fold(a, 0, lambda s, x: s + x)
+_ifs("SUMIF", F.sum, _total, 0.0, True)
+_ifs("AVERAGEIF", F.avg, mean, None, True)
+_ifs("SUMIFS", F.sum, _total, 0.0)
+_ifs("AVERAGEIFS", F.avg, mean, None)
+_ifs("MAXIFS", F.max, F.array_max, 0.0)
+_ifs("MINIFS", F.min, F.array_min, 0.0)
+
 
+# ---- database functions: (table, column, criteria rows); the table is the rows themselves or a matrix whose first
+# row names columns, the criteria are such a matrix ----
 
-_ifs("SUMIFS", F.sum, 0.0)
-_ifs("AVERAGEIFS", F.avg, None)
-_ifs("MAXIFS", F.max, 0.0)
-_ifs("MINIFS", F.min, 0.0)
 
+def _literal(x: tuple) -> object:
+    return None if x[0] == "blank" else -x[2][1] if x[0] == "pre" else x[1]
 
-# ---- database functions: (column, criteria rows), criteria as a matrix whose first row names columns ----
 
+def database(names, f, over, empty=None, single: bool = False):
+    """f over a column's cells or over an array of a matrix's numbers; single: there must be one cell."""
 
-def database(names, f, empty=None, code: str = "#DIV/0!"):
     @fn(*names, lazy=True)
     def build(ctx, db, field_, criteria, env=None):
-        name = field_[1] if field_[0] == "str" else field_[2]
-        rows = [[x[1] if x[0] != "pre" else -x[2][1] for x in r] if all(x[0] != "blank" for x in r) else [None if x[0] == "blank" else x[1] for x in r] for r in criteria[1]]
-        heads, tests = rows[0], []
-        for r in rows[1:]:
-            parts = [criterion(F.col(f"`{h}`"), None, Val(F.lit(v) if not isinstance(v, (int, float)) else F.lit(float(v)), kind="num" if isinstance(v, (int, float)) else "str", literal=v)) for h, v in zip(heads, r, strict=True) if v not in (None, "")]
-            tests.append(functools.reduce(lambda a, b: a & b, parts, F.lit(True)))
-        keep = functools.reduce(lambda a, b: a | b, tests)
-        c = ctx.agg(f(F.when(keep, F.col(f"`{name}`"))))
-        return number(c, bad(c.isNull(), code)) if empty is None else number(F.coalesce(c, F.lit(float(empty))))
+        rows = [[_literal(x) for x in r] for r in criteria[1]]
+        table = ctx.walk(db, env) if db[0] != "range" else None
+        if table is not None and table.kind == "array":  # of one column
+            table = Val(F.transform(table.col, lambda x: F.array(x)), kind="matrix", body=table.body)
+        inner = table is not None and table.kind == "matrix"
+        if inner:
+            heads = F.transform(F.get(table.col, 0), lambda x: F.lower(x.cast("string")))
+            place = lambda h: F.array_position(heads, F.lit(str(h).lower())).cast("int") - 1
+        keep = lambda cell: functools.reduce(lambda a, b: a | b, [functools.reduce(lambda a, b: a & b, [F.coalesce(criterion(cell(h), None, Val(F.lit(float(v)) if isinstance(v, (int, float)) else F.lit(v), kind="num" if isinstance(v, (int, float)) else "str", literal=v)), F.lit(False)) for h, v in zip(rows[0], r, strict=True) if v not in (None, "")], F.lit(True)) for r in rows[1:]])
+        wanted = _literal(field_) if field_[0] in ("num", "str", "pre") else field_[2] if field_[0] == "range" else field_[1]
+        if inner:
+            at = F.lit(int(wanted) - 1) if isinstance(wanted, (int, float)) else place(wanted)
+            lost = (at < 0) | (at >= F.size(heads))
+            found = F.filter(F.slice(table.col, 2, F.greatest(F.size(table.col) - 1, F.lit(0))), lambda r: keep(lambda h: F.get(r, place(h))))
+            items = F.filter(F.transform(found, lambda r: F.get(r, at)), lambda x: x.isNotNull() & (x.cast("string") != ""))
+            numbers = F.filter(F.transform(items, lambda x: x.try_cast("double")), lambda x: x.isNotNull())
+            n, c = F.size(found), over(items if names == ("DCOUNTA",) else numbers)
+        else:
+            names_ = ctx.schema.fieldNames()
+            name = names_[int(wanted) - 1] if isinstance(wanted, (int, float)) and 1 <= wanted <= len(names_) else wanted
+            if name not in names_:
+                return number(F.lit(None), F.lit("#VALUE!"))
+            lost = F.lit(False)
+            cell = F.when(keep(lambda h: F.col(f"`{h}`")), F.col(f"`{name}`"))
+            n, c = ctx.agg(F.count_if(keep(lambda h: F.col(f"`{h}`")))), ctx.agg(f(cell))
+        if single:
+            return number(F.when(n == 1, c), first_error(bad(lost | (n == 0), "#VALUE!"), bad(n > 1, "#NUM!")))
+        if empty is None:
+            return number(c, first_error(bad(lost, "#VALUE!"), bad(c.isNull(), "#DIV/0!")))
+        return number(F.coalesce(c, F.lit(float(empty))), bad(lost, "#VALUE!"))
 
 
 _d = lambda f: lambda c: f(c.try_cast("double"))
-database(("DSUM",), _d(F.sum), 0)
-database(("DAVERAGE",), _d(F.avg))
-database(("DCOUNT",), _d(F.count), 0)
-database(("DCOUNTA",), lambda c: F.count_if(c.isNotNull() & (c.cast("string") != "")), 0)
-database(("DMAX",), _d(F.max), 0)
-database(("DMIN",), _d(F.min), 0)
-database(("DPRODUCT",), _d(F.product), 1)
-database(("DSTDEV",), _d(F.stddev_samp))
-database(("DSTDEVP",), _d(F.stddev_pop))
-database(("DVAR",), _d(F.var_samp))
-database(("DVARP",), _d(F.var_pop))
-database(("DGET",), lambda c: F.when(F.count(c) == 1, F.max(c.try_cast("double"))), None, "#NUM!")
-
+_spread = lambda least, root: lambda a: F.when(F.size(a) > least, (F.sqrt if root else lambda x: x)(moment(a, 2) / (F.size(a) - least)))
+database(("DSUM",), _d(F.sum), _total, 0)
+database(("DAVERAGE",), _d(F.avg), mean)
+database(("DCOUNT",), _d(F.count), F.size, 0)
+database(("DCOUNTA",), lambda c: F.count_if(c.isNotNull() & (c.cast("string") != "")), F.size, 0)
+database(("DMAX",), _d(F.max), F.array_max, 0)
+database(("DMIN",), _d(F.min), F.array_min, 0)
+database(("DPRODUCT",), _d(F.product), lambda a: fold(a, 1, lambda s, x: s * x), 1)
+database(("DSTDEV",), _d(F.stddev_samp), _spread(1, True))
+database(("DSTDEVP",), _d(F.stddev_pop), _spread(0, True))
+database(("DVAR",), _d(F.var_samp), _spread(1, False))
+database(("DVARP",), _d(F.var_pop), _spread(0, False))
+database(("DGET",), _d(F.max), lambda a: F.get(a, 0), single=True)

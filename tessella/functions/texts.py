@@ -321,7 +321,8 @@ def valuetotext(ctx, a, strict=None):
 
 @fn("ARRAYTOTEXT")
 def arraytotext(ctx, a, strict=None):
-    return string(F.array_join(F.transform(a.col, lambda x: F.coalesce(x.cast("string"), F.lit(""))), ", "))
+    flat = F.flatten(a.col) if a.kind == "matrix" else a.col if a.kind == "array" else F.array(a.col)
+    return string(F.array_join(F.transform(flat, lambda x: text(Val(x, kind="num" if a.body == "num" or a.kind == "num" else "str"))), ", "))
 
 
 @fn("HYPERLINK")

@@ -1,3 +1,4 @@
+import cmath
 import datetime as dt
 import math
 
@@ -48,6 +49,44 @@ CASES = {
 }
 
 
+#: A table for the database functions.
+TREES = '{"Tree","Height","Age","Yield";"Apple",18,20,14;"Pear",12,12,10;"Cherry",13,14,9;"Apple",14,15,10;"Pear",9,8,8;"Apple",8,9,6}'
+CASES |= {
+    "COUNTA({1,2},\"a\",\"\")": 3, "FLOOR(2.5)": 2, "FLOOR(2.5,1)": 2, "FLOOR(-2.5,-2)": -2, "FLOOR(2.5,-2)": "#NUM!", "FLOOR(1.58,0.1)": 1.5, "CEILING(2.5)": 3, "CEILING(-2.5,2)": -2, "CEILING(0.234,0.01)": 0.24, "FLOOR(1,2,3)": "#VALUE!", "SIN()": "#VALUE!",
+    "POWER(2,10)": 1024, "PI()": math.pi, "RADIANS(180)": math.pi, "DEGREES(PI())": 180, "SIN(1)": math.sin(1), "COS(1)": math.cos(1), "TAN(1)": math.tan(1), "ASIN(0.5)": math.asin(0.5), "ASIN(2)": "#NUM!", "ACOS(0.5)": math.acos(0.5), "ATAN(2)": math.atan(2), "SINH(1)": math.sinh(1),
+    "COSH(1)": math.cosh(1), "TANH(1)": math.tanh(1), "ASINH(1)": math.asinh(1), "ACOSH(2)": math.acosh(2), "ACOSH(0.5)": "#NUM!", "ATANH(0.5)": math.atanh(0.5), "AND(RAND()>=0,RAND()<1)": True, "RANDBETWEEN(3,3)": 3, "SQRTPI(2)": math.sqrt(2 * math.pi), "SUMX2PY2({2,3},{1,2})": 18,
+    "ROWS(RANDARRAY(2,3))": 2, "SUM(MINVERSE({2,0;0,4}))": 0.75, "SUM(TOROW({1,2;3,4}))": 10, "SUM(TOCOL({1,2;3,4}))": 10, "COLUMNS(WRAPCOLS({1,2,3,4},2))": 2, "SUM(CHOOSEROWS({1,2;3,4},2))": 7, "SUM(CHOOSECOLS({1,2;3,4},2))": 6, "ROWS(EXPAND({1,2},3,2,0))": 3, "SUM(MMULT({1,2;3,4},{5;6}))": 56,
+    'LOWER("AbC")': "abc", 'UNICODE("é")': 233, 'T("a")': "a", "T(1)": "", 'TEXTJOIN("|",TRUE,TEXTSPLIT("a-b-c","-"))': "a|b|c", 'REGEX.REPLACE("a1b2","[0-9]","#")': "a#b#", 'DBCS("AB1")': "ＡＢ１", 'PHONETIC("abc")': "abc", "VALUETOTEXT(1.5)": "1.5", "ARRAYTOTEXT({1,2})": "1, 2",
+    'ARRAYTOTEXT({"a","b"})': "a, b", "ARRAYTOTEXT({1,2.5;3,4})": "1, 2.5, 3, 4", 'CONCATENATE("a","b",1)': "ab1", "AVG({1,3})": 2, 'HYPERLINK("http://x","go")': "go",
+    'MINUTE(TIMEVALUE("6:45"))': 45, "SECOND(TIME(1,2,3))": 3, "TODAY()-TODAY()": 0, "YEAR(NOW())-YEAR(TODAY())": 0, "NETWORKDAYS.INTL(DATE(2024,1,1),DATE(2024,1,12),7)": 9, 'DAY(WORKDAY.INTL(DATE(2024,1,5),1,"0000011"))': 8,
+    "TRUE()": True, "FALSE()": False, "ISBLANK(1)": False, "ISLOGICAL(TRUE)": True, "ISLOGICAL(1)": False, "LAMBDA(x,y,ISOMITTED(y))(1)": True, "LAMBDA(x,ISOMITTED(x))(1)": False, "SHEETS()": 1, "ISFORMULA(1)": False, "ISREF(1)": False, "AREAS(1)": "#NAME?", 'INFO("system")': "spark", 'INFO("nothing")': "#VALUE!", "AND(MIN(RANDARRAY(9,9,5,7,TRUE))>=5,MAX(RANDARRAY(9,9,5,7,TRUE))<=7)": True,
+    "STDEV.P({1,2,3,4})": math.sqrt(1.25), "VAR.S({1,2,3,4})": 5 / 3, "COVARIANCE.P({1,2,3},{1,2,3})": 2 / 3, "RSQ({2,4,6},{1,2,3})": 1, 'AVERAGEIF({1,5,9},">1")': 7, 'AVERAGEIF({1,5,9},">10")': "#DIV/0!", 'AVERAGEIF({"a","b","a"},"a",{1,2,6})': 3.5, 'AVERAGEIFS({1,5,9},{1,2,3},">1")': 7,
+    'COUNTIFS({1,5,9},">1",{1,2,3},"<3")': 1, 'COUNTIFS({"x","y","x"},"x")': 2, 'MINIFS({1,5,9},{1,2,3},">1")': 5, 'MAXIFS({1,5,9},{1,2,3},"<3")': 5, 'SUMIFS({1,5,9},{1,2,3},">1",{"a","b","b"},"b")': 14, 'SUMIFS({1,5,9},{1,2,3},">7")': 0, 'SUMIF({"a","b","a"},"a",{1,2,6})': 7,
+    "KURT({3,4,5,2,3,4,5,6,4,7})": -0.1517996372, "STEYX({2,3,9,1,8,7,5},{6,5,11,7,5,4,4})": 3.3057189502, "SUM(MODE.MULT({1,1,2,2,3}))": 3, "MODE({1,2,2})": 2, "STDEV({1,2,3,4})": 1.2909944487, "STDEVP({1,2,3,4})": math.sqrt(1.25), "VAR({1,2,3,4})": 5 / 3, "VARP({1,2,3,4})": 1.25,
+    "RANK(2,{1,2,3})": 2, "RANK(3,{1,2,3},1)": 3, "PERCENTILE({1,2,3,4},0.25)": 1.75, "QUARTILE({1,2,3,4},3)": 3.25, "PEARSON({1,2,3},{2,4,6})": 1, "COVAR({1,2,3},{1,2,3})": 2 / 3, "SUM(TREND({1,2,3},{1,2,3},{4}))": 4, "SUM(LINEST({3,5,7},{1,2,3}))": 3, "SUM(LOGEST({1,2,4},{0,1,2}))": 3,
+    "SUM(GROWTH({1,2,4},{0,1,2},{3}))": 8, "FORECAST(4,{3,5,7},{1,2,3})": 9,
+    "NORMSDIST(1.333333)": 0.9087887, "NORMSINV(0.908789)": 1.3333347, "NORM.INV(0.908789,40,1.5)": 42.0000020, "GAMMA.DIST(10,9,2,FALSE)": 0.03263901967, "GAMMA.DIST(10,9,2,TRUE)": 0.06809363472, "GAMMA.INV(0.068094,9,2)": 10.0000112, "BETA.INV(0.685470581,8,10,1,3)": 2, "CHISQ.DIST(0.5,1,TRUE)": 0.5204999,
+    "CHISQ.INV.RT(0.050001,10)": 18.3069735, "T.DIST(60,1,TRUE)": 0.9946953, "T.DIST.RT(1.959999998,60)": 0.0273225, "T.INV(0.75,2)": 0.8164966, "F.DIST(15.2069,6,4,TRUE)": 0.9900000, "F.INV.RT(0.01,6,4)": 15.2068649, "LOGNORM.DIST(4,3.5,1.2,TRUE)": 0.0390836, "BINOM.DIST.RANGE(60,0.75,45,50)": 0.5236297934,
+    "CONFIDENCE.T(0.05,1,50)": 0.2841968555, "Z.TEST({3,6,7,8,6,5,4,2,1,9},4)": 0.0905741969, "CHISQ.TEST({58,35;11,25;10,23},{45.35,47.65;17.56,18.44;16.09,16.91})": 0.000308192,
+    'XIRR({-10000,2750,4250,3250,2750},{"2008-01-01","2008-03-01","2008-10-30","2009-02-15","2009-04-01"},0.1)': 0.3733625, "ACCRINTM(DATE(2008,4,1),DATE(2008,6,15),0.1,1000,3)": 20.5479452, "ACCRINT(DATE(2008,3,1),DATE(2008,8,31),DATE(2008,5,1),0.1,1000,2,0)": 16.6666667, "DAY(COUPPCD(DATE(2011,1,25),DATE(2011,11,15),2,1))": 15,
+    "MDURATION(DATE(2008,1,1),DATE(2016,1,1),0.08,0.09,2,1)": 5.7356698, "ISPMT(0.1/12,1,36,8000000)": -64814.8148148, "INTRATE(DATE(2008,2,15),DATE(2008,5,15),1000000,1014420,2)": 0.05768, "RECEIVED(DATE(2008,2,15),DATE(2008,5,15),1000000,0.0575,2)": 1014584.6544071, "PRICEDISC(DATE(2008,2,16),DATE(2008,3,1),0.0525,100,2)": 99.7958333,
+    "YIELDDISC(DATE(2008,2,16),DATE(2008,3,1),99.795,100,2)": 0.0528226, "PRICEMAT(DATE(2008,2,15),DATE(2008,4,13),DATE(2007,11,11),0.061,0.061,0)": 99.9844989, "YIELDMAT(DATE(2008,3,15),DATE(2008,11,3),DATE(2007,11,8),0.0625,100.0123,0)": 0.0609543, "TBILLEQ(DATE(2008,3,31),DATE(2008,6,1),0.0914)": 0.0941515,
+    "TBILLYIELD(DATE(2008,3,31),DATE(2008,6,1),98.45)": 0.0914170, "COUPDAYS(DATE(2011,1,25),DATE(2011,11,15),2,1)": 181, "COUPDAYBS(DATE(2011,1,25),DATE(2011,11,15),2,1)": 71, "COUPDAYSNC(DATE(2011,1,25),DATE(2011,11,15),2,1)": 110, "AMORLINC(2400,DATE(2008,8,19),DATE(2008,12,31),300,1,0.15,1)": 360,
+    "AMORDEGRC(2400,DATE(2008,8,19),DATE(2008,12,31),300,1,0.15,1)": 776, "ODDFPRICE(DATE(2008,11,11),DATE(2021,3,1),DATE(2008,10,15),DATE(2009,3,1),0.0785,0.0625,100,2,1)": 113.5977175, "ODDFYIELD(DATE(2008,11,11),DATE(2021,3,1),DATE(2008,10,15),DATE(2009,3,1),0.0575,84.5,100,2,0)": 0.0772455,
+    "ODDLPRICE(DATE(2008,2,7),DATE(2008,6,15),DATE(2007,10,15),0.0375,0.0405,100,2,0)": 99.8782860, "ODDLYIELD(DATE(2008,4,20),DATE(2008,6,15),DATE(2007,12,24),0.0375,99.875,100,2,0)": 0.0451922,
+    'BIN2DEC("1100100")': 100, 'BIN2OCT("1001",3)': "011", 'OCT2BIN("3",3)': "011", 'OCT2HEX("100",4)': "0040", 'HEX2OCT("F",3)': "017", "DEC2OCT(58,3)": "072", "ERF.PRECISE(0.745)": 0.7079289, "ERFC.PRECISE(1)": 0.1572992, 'IMARGUMENT("3+4i")': math.atan2(4, 3), 'IMSUB("13+4i","5+3i")': "8+i",
+    'IMREAL(IMDIV("-238+240i","10+24i"))': 5, 'IMREAL(IMPOWER("2+3i",3))': -46, 'IMAGINARY(IMPOWER("2+3i",3))': 9,
+    **{f'IMREAL({n}("1.5-0.5i"))': f(1.5 - 0.5j).real for n, f in {
+        "IMEXP": cmath.exp, "IMLN": cmath.log, "IMLOG10": cmath.log10, "IMLOG2": lambda z: cmath.log(z) / math.log(2), "IMSQRT": cmath.sqrt, "IMCOS": cmath.cos, "IMSIN": cmath.sin, "IMCOSH": cmath.cosh, "IMSINH": cmath.sinh, "IMTAN": cmath.tan,
+        "IMSEC": lambda z: 1 / cmath.cos(z), "IMCSC": lambda z: 1 / cmath.sin(z), "IMSECH": lambda z: 1 / cmath.cosh(z), "IMCSCH": lambda z: 1 / cmath.sinh(z), "IMCOT": lambda z: 1 / cmath.tan(z)}.items()},
+    **{f"{n}(1)": "#NAME?" for n in ("WEBSERVICE", "FILTERXML", "CUBEKPIMEMBER", "CUBEMEMBER", "CUBEMEMBERPROPERTY", "CUBERANKEDMEMBER", "CUBESETCOUNT", "CUBEVALUE", "CELL", "GETPIVOTDATA", "IMAGE", "RTD")},
+    **{f'{n}({TREES},"{c}",{{"Tree";"{t}"}})': v for n, c, t, v in [
+        ("DSUM", "Yield", "Apple", 30), ("DAVERAGE", "Age", "Pear", 10), ("DMAX", "Height", "Apple", 18), ("DMIN", "Height", "Apple", 8), ("DCOUNT", "Yield", "Apple", 3), ("DCOUNTA", "Tree", "Apple", 3), ("DPRODUCT", "Yield", "Apple", 840), ("DVAR", "Yield", "Apple", 16),
+        ("DVARP", "Yield", "Apple", 32 / 3), ("DSTDEV", "Yield", "Apple", 4), ("DSTDEVP", "Yield", "Apple", math.sqrt(32 / 3)), ("DGET", "Yield", "Cherry", 9), ("DGET", "Yield", "Walnut", "#VALUE!"), ("DGET", "Yield", "Apple", "#NUM!"), ("DSUM", "Weight", "Apple", "#VALUE!")]},
+    f'DSUM({TREES},4,{{"Tree";"Apple"}})': 30, f'DSUM({TREES},99,{{"Tree";"Apple"}})': "#VALUE!", f'DSUM({TREES},"Yield",{{"Tree","Height";"Apple",">=10"}})': 24, f'DCOUNT({TREES},"Yield",{{"Tree";"Apple";"Pear"}})': 5, f'DCOUNT({TREES},"Yield",{{"Age";">10"}})': 4,
+}
+
+
 @pytest.fixture(scope="module")
 def results(spark):
     """All cases in a few plans of one row."""
