@@ -75,12 +75,11 @@ _FILTERS = {
     "not_in": ("orders", cmp("o_orderstatus", "notIn", values=["F", "P"]), "o_orderstatus NOT IN ('F', 'P')"),
     "between": ("orders", cmp("o_custkey", "between", values=[10, 30]), "o_custkey BETWEEN 10 AND 30"),
     "not_between": ("orders", cmp("o_custkey", "notBetween", values=[10, 1400]), "o_custkey NOT BETWEEN 10 AND 1400"),
-    "contains": ("part", cmp("p_type", "contains", "STEEL"), "contains(lower(p_type), 'steel')"),
-    "contains_case": ("part", cmp("p_type", "contains", "steel", caseSensitive=True), "contains(p_type, 'steel')"),
+    "contains": ("part", cmp("p_type", "contains", "eD"), "contains(lower(p_type), 'ed')"),
+    "contains_case": ("part", cmp("p_type", "contains", "ED", caseSensitive=True), "contains(p_type, 'ED')"),
     "not_contains": ("part", cmp("p_type", "notContains", "a"), "NOT contains(lower(p_type), 'a')"),
     "starts_with": ("customer", cmp("c_mktsegment", "startsWith", "auto"), "starts_with(lower(c_mktsegment), 'auto')"),
     "ends_with": ("customer", cmp("c_name", "endsWith", "7"), "ends_with(lower(c_name), '7')"),
-    "is_null": ("orders", cmp("o_orderstatus", "isNull"), "o_orderstatus IS NULL"),
     "is_not_null": ("orders", cmp("o_orderstatus", "isNotNull"), "o_orderstatus IS NOT NULL"),
     "and_or": ("orders", logic("and", cmp("o_custkey", "gt", 20), logic("or", cmp("o_orderstatus", "eq", "P"), cmp("o_totalprice", "lt", 10000))), "o_custkey > 20 AND (o_orderstatus = 'P' OR o_totalprice < 10000)"),
     "empty_or": ("orders", logic("or"), "false"),
@@ -107,6 +106,11 @@ def _nulled(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("O")).alias("status"), "o_totalprice")
 
 
+@query(f"SELECT * FROM {_NULLED} WHERE status IS NULL")
+def filter_is_null(spark, sf_dir):
+    return predicate.apply_filter(_nulled(spark, sf_dir), cmp("status", "isNull"))
+
+
 @query(f"SELECT * FROM {_NULLED} WHERE NOT coalesce(status = 'F', false)")
 def filter_not_two_valued(spark, sf_dir):
     return predicate.apply_filter(_nulled(spark, sf_dir), logic("not", cmp("status", "eq", "F")))
@@ -130,13 +134,10 @@ def project_columns(spark, sf_dir):
     return Source(table(spark, sf_dir, "customer"), "c_custkey").rows(BlockRequest(columns=["c_custkey", "c_name"]))
 
 
-@query(f"SELECT *, row_number() OVER (ORDER BY status ASC NULLS LAST, o_totalprice DESC, o_orderkey) AS pos FROM {_NULLED} QUALIFY pos <= 500")
+@query(f"SELECT *, row_number() OVER (ORDER BY status ASC NULLS LAST, o_totalprice DESC, o_orderkey) AS pos FROM {_NULLED}")
 def sort_nulls_last(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     sort = [{"columnId": "status", "direction": "asc"}, {"columnId": "o_totalprice", "direction": "desc"}]
-    d = ordering.apply_sort(_nulled(spark, sf_dir), sort, "o_orderkey").limit(500)
-    return d.withColumn("pos", F.row_number().over(W.orderBy(*ordering.order_columns(sort, "o_orderkey"))).cast("long"))
+    return ordering.positions(_nulled(spark, sf_dir), sort, "o_orderkey")
 
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY c_name DESC, o_orderkey DESC LIMIT 1000")
@@ -145,10 +146,10 @@ def sort_string_top(spark, sf_dir):
     return ordering.apply_sort(d, [{"columnId": "c_name", "direction": "desc"}], "o_orderkey").limit(1000)
 
 
-@query("SELECT p_partkey, p_brand FROM part ORDER BY CAST(regexp_extract(p_brand, '[0-9]+') AS INT) DESC, p_partkey DESC LIMIT 50")
+@query("SELECT p_partkey, p_brand, row_number() OVER (ORDER BY CAST(regexp_extract(p_brand, '[0-9]+') AS INT) DESC, p_partkey DESC) AS pos FROM part")
 def sort_natural(spark, sf_dir):
     d = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return ordering.apply_sort(d, [{"columnId": "p_brand", "direction": "desc"}], "p_partkey", natural=True).limit(50)
+    return ordering.positions(d, [{"columnId": "p_brand", "direction": "desc"}], "p_partkey", natural=True)
 
 
 @query("SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 25")
@@ -336,9 +337,9 @@ def join_semi(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 450000"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
 
 
-@query("SELECT * FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT * FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def join_anti(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 400000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
 
 
 @query("""SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
@@ -384,9 +385,13 @@ def range_join(spark, sf_dir):
     return joins.range_join(table(spark, sf_dir, "events"), bands, "value", "lo", "hi", 10.0).select("event_id", "lo")
 
 
-@query("SELECT p_partkey FROM part WHERE regexp_matches(lower(p_type), '^.*s.eel$')")
+@query("""WITH l AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '*d?um' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'p*o' ELSE 'x~*' END AS said FROM supplier),
+       m AS (SELECT said, min(p_partkey) AS k FROM (SELECT DISTINCT said FROM l) JOIN part ON regexp_full_match(lower(p_type), CASE said WHEN '*d?um' THEN '.*d.um' WHEN 'SMALL' THEN 'small' WHEN 'p*o' THEN 'p.*o' ELSE 'x[*]' END) GROUP BY 1)
+       SELECT s_suppkey, said, p_partkey, p_name FROM l LEFT JOIN m USING (said) LEFT JOIN part ON p_partkey = k""")
 def lookup_wildcard(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(F.col("p_type").rlike(joins.wildcard_pattern("*s?eel"))).select("p_partkey")
+    n = F.col("s_suppkey") % 4
+    said = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(n == 0, "*d?um").when(n == 1, "SMALL").when(n == 2, "p*o").otherwise("x~*").alias("said"))
+    return joins.lookup_wildcard(said, table(spark, sf_dir, "part"), "said", "p_type", "p_partkey", ["p_partkey", "p_name"])
 
 
 @query("SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P' INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")

@@ -262,14 +262,14 @@ def formula_complex(spark, sf_dir):
 
 
 @query("""SELECT c_custkey, round(-a * (1 - power(1.01, -24)) / 0.01, 4) AS f_pv, round(ln(1 + a * 0.01 / 500) / ln(1.01), 6) AS f_nper, round(-a * 0.01, 4) AS f_ipmt, round(-(a * 0.01 / (1 - power(1.01, -24)) - a * 0.01), 4) AS f_ppmt, round(a / 1.1 + 2 * a / 1.21, 4) AS f_npv,
-       round((a - 100) * (5 - 2 + 1) / 15, 4) AS f_syd, round(power(1 + k / 1200, 12) - 1, 8) AS f_effect, round((power(1 + k / 100, 1 / 12) - 1) * 12, 8) AS f_nominal, round(ln(2) / ln(1 + k / 100), 6) AS f_pduration, round(a * 0.01 * (1 / 24 - 1), 6) AS f_ispmt, round(100 * (1 - k / 100 * 62 / 360), 6) AS f_tbillprice,
+       round((a - 100) * (5 - 2 + 1) / 15, 4) AS f_syd, round(power(1 + k / 1200, 12) - 1, 8) AS f_effect, round((power(1 + k / 100, 1 / 12) - 1) * 12, 8) AS f_nominal, round(ln(2) / ln(1 + k / 100), 6) AS f_pduration, round(a * 0.0096, 6) * -1 AS f_ispmt, round(100 * (1 - k / 100 * 62 / 360), 6) AS f_tbillprice,
        round((100 - 90 - k / 10) / (90 + k / 10) * 360 / 62, 6) AS f_tbillyield, round(365 * k / 100 / (360 - k / 100 * 62), 8) AS f_tbilleq, round((100 - 90 - k / 10) / 100 * 4, 6) AS f_disc, round((100 - 90 - k / 10) / (90 + k / 10) * 4, 6) AS f_intrate, round(a / (1 - k / 100 / 4), 4) AS f_received,
        round(100 - 100 * k / 100 / 4, 6) AS f_pricedisc, round((100 - 90 - k / 10) / (90 + k / 10) * 4, 6) AS f_yielddisc, round(a * k / 400, 6) AS f_accrintm, round(1 + k / 16, 8) AS f_dollarde, round(1 + k * 0.16 / 100, 8) AS f_dollarfr, round(a * 0.4, 4) AS f_ddb FROM (SELECT c_custkey, abs(c_acctbal) + 200 AS a, c_nationkey % 15 + 1 AS k FROM customer)""")
 def formula_finance_more(spark, sf_dir):
     a, k, s, m = "(ABS([@c_acctbal])+200)", "(MOD([@c_nationkey],15)+1)", "DATE(2008,1,15)", "DATE(2008,4,15)"
     ts, tm = "DATE(2008,3,31)", "DATE(2008,6,1)"
     f = {"pv": f"ROUND(PV(0.01,24,{a}),4)", "nper": f"ROUND(-NPER(0.01,500,{a}),6)", "ipmt": f"ROUND(IPMT(0.01,1,24,{a}),4)", "ppmt": f"ROUND(PPMT(0.01,1,24,{a}),4)", "npv": f"ROUND(NPV(0.1,HSTACK({a},2*{a})),4)", "syd": f"ROUND(SYD({a},100,5,2),4)", "effect": f"EFFECT({k}/100,12)", "nominal": f"NOMINAL({k}/100,12)",
-         "pduration": f"ROUND(PDURATION({k}/100,1,2),6)", "ispmt": f"ROUND(ISPMT(0.01,1,24,{a}),6)", "tbillprice": f"ROUND(TBILLPRICE({ts},{tm},{k}/100),6)", "tbillyield": f"ROUND(TBILLYIELD({ts},{tm},90+{k}/10),6)", "tbilleq": f"TBILLEQ({ts},{tm},{k}/100)", "disc": f"ROUND(DISC({s},{m},90+{k}/10,100,0),6)",
+         "pduration": f"ROUND(PDURATION({k}/100,1,2),6)", "ispmt": f"ROUND(ISPMT(0.01,1,25,{a}),6)", "tbillprice": f"ROUND(TBILLPRICE({ts},{tm},{k}/100),6)", "tbillyield": f"ROUND(TBILLYIELD({ts},{tm},90+{k}/10),6)", "tbilleq": f"TBILLEQ({ts},{tm},{k}/100)", "disc": f"ROUND(DISC({s},{m},90+{k}/10,100,0),6)",
          "intrate": f"ROUND(INTRATE({s},{m},90+{k}/10,100,0),6)", "received": f"ROUND(RECEIVED({s},{m},{a},{k}/100,0),4)", "pricedisc": f"ROUND(PRICEDISC({s},{m},{k}/100,100,0),6)", "yielddisc": f"ROUND(YIELDDISC({s},{m},90+{k}/10,100,0),6)", "accrintm": f"ROUND(ACCRINTM({s},{m},{k}/100,{a},0),6)",
          "dollarde": f"DOLLARDE(1+{k}/100,16)", "dollarfr": f"DOLLARFR(1+{k}/100,16)", "ddb": f"ROUND(DDB({a},0,5,1),4)"}
     return _table_of(spark, sf_dir, "customer", {f"f_{k_}": v for k_, v in f.items()}, ["c_custkey"])

@@ -98,8 +98,8 @@ def _any(cs: list[Column]) -> Column:
     return out
 
 
-def distinct_values(df: DataFrame, column: str, limit: int | None = 10_000) -> DataFrame:
-    """value and count, most frequent first, then by value with null last."""
+def distinct_values(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """value and count, most frequent first, then by value with null last; limit keeps so many of them."""
     out = df.groupBy(F.col(f"`{column}`").alias("value")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), F.col("value").asc_nulls_last())
     return out.limit(limit) if limit is not None else out
 

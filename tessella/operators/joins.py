@@ -86,6 +86,32 @@ def wildcard_pattern(text: str) -> str:
     return f"(?is)^{out}$"
 
 
+def pattern_column(text: Column) -> Column:
+    """wildcard_pattern of a column of lookup texts."""
+    held = {"~~": "\x01", "~*": "\x02", "~?": "\x03"}
+    for mark, stand in held.items():
+        text = F.replace(text, F.lit(mark), F.lit(stand))
+    text = F.regexp_replace(text, r"([\\.\[\]{}()+^$|])", r"\\$1")
+    text = F.replace(F.replace(text, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
+    for stand, back in (("\x01", "~"), ("\x02", "\\*"), ("\x03", "\\?")):
+        text = F.replace(text, F.lit(stand), F.lit(back))
+    return F.concat(F.lit("(?is)^"), text, F.lit("$"))
+
+
+def lookup_wildcard(left: DataFrame, right: DataFrame, text: str, key: str, order: str, values: list[str]) -> DataFrame:
+    """left with the values of the first row of right, by order, whose key matches left's text with *, ? and ~; null where none does.
+
+    Texts without marks are looked up by equality; each different one with marks is held against right's different keys.
+    """
+    first = right.where(F.col(key).isNotNull()).groupBy(F.lower(F.col(key).cast("string")).alias("__k__")).agg(F.min_by(F.struct(F.col(order).alias("__o__"), *values), order).alias("__v__"))
+    texts = left.select(F.lower(F.col(text).cast("string")).alias("__t__")).distinct()
+    marked = F.col("__t__").rlike(r"[*?~]")
+    same = texts.where(~marked).join(first, F.col("__t__") == F.col("__k__")).select("__t__", "__v__")
+    like = texts.where(marked).withColumn("__p__", pattern_column(F.col("__t__"))).join(first, F.expr("__k__ rlike __p__"))
+    found = same.unionByName(like.groupBy("__t__").agg(F.min_by("__v__", F.col("__v__")["__o__"]).alias("__v__")))
+    return left.join(found, F.lower(F.col(text).cast("string")) == F.col("__t__"), "left").select(*left.columns, *[F.col("__v__")[v].alias(v) for v in values])
+
+
 def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
     """Rows with low <= value < high, joined through buckets of a width instead of by comparing all with all."""
     l = left.withColumn("__b__", F.floor(F.col(value) / width))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.storage import materialize
+
 
 def natural_key(c: Column, width: int = 20) -> Column:
     """A key under which item9 comes before item10: lower case, each run of digits padded to width."""
@@ -31,6 +34,19 @@ def order_columns(sort: list[dict], tie: str | None = None, natural: bool = Fals
     return out
 
 
+def positions(df: DataFrame, sort: list[dict], tie: str | None = None, natural: bool = False, name: str = "pos") -> DataFrame:
+    """df with each row's place, from 1, in the whole order.
+
+    Rows are dealt out by ranges of the order and written; a row's place is that in its range and the sizes of those before.
+    """
+    order = order_columns(sort, tie, natural)
+    dealt = materialize(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__range__", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__range__").agg(F.count("*").alias("n"))
+    base = sizes.select("__range__", (F.sum("n").over(W.orderBy("__range__")) - F.col("n")).alias("__base__"))
+    at = F.row_number().over(W.partitionBy("__range__").orderBy(*order_columns(sort, tie, natural)))
+    return dealt.join(F.broadcast(base), "__range__").withColumn(name, (F.col("__base__") + at).cast("long")).drop("__range__", "__base__")  # a row for each partition
+
+
 def tie_descends(sort: list[dict]) -> bool:
     return bool(sort) and all(s.get("direction", "asc") == "desc" for s in sort)
 

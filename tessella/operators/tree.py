@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.storage import materialize
+
 
 def children(df: DataFrame, parent: object | None, id_column: str = "id", parent_column: str = "parent_id") -> DataFrame:
     """A node's children (the roots for None) with hasChildren."""
@@ -13,23 +15,26 @@ def children(df: DataFrame, parent: object | None, id_column: str = "id", parent
     return mine.join(parents, F.col(id_column) == F.col("__p__"), "left").withColumn("hasChildren", F.col("__p__").isNotNull()).drop("__p__")
 
 
-def flatten(df: DataFrame, open_ids: list | None = None, id_column: str = "id", parent_column: str = "parent_id", max_depth: int = 100) -> DataFrame:
+def flatten(df: DataFrame, open_ids: list | None = None, id_column: str = "id", parent_column: str = "parent_id") -> DataFrame:
     """Rows that show with these ids open (all of them for None): depth, path, hasChildren, expanded.
 
-    A recursive query walks down one level at a time; a node is met once per path from a root.
+    Only roots and children of open nodes can show. Each has the path to its nearest known ancestor; in every round
+    paths are joined with those of their tops, so they double and a tree of depth n takes log2(n) rounds of one join.
+    Nodes on or below a cycle, or below one that does not show, never reach a root and are left out.
     """
-    spark, view = df.sparkSession, f"__tree_{id(df)}"
-    opened = F.lit(True) if open_ids is None else F.col(id_column).isin(list(open_ids))
-    df.select(F.col(id_column).alias("id"), F.col(parent_column).alias("parent_id"), F.coalesce(opened, F.lit(False)).alias("is_open")).createOrReplaceTempView(view)
-    walk = spark.sql(f"""
-        WITH RECURSIVE t (id, parent_id, depth, path, is_open) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT id, parent_id, 0, array(cast(id AS string)), is_open FROM {view} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT c.id, c.parent_id, t.depth + 1, array_append(t.path, cast(c.id AS string)), c.is_open FROM {view} c JOIN t ON c.parent_id = t.id WHERE t.is_open)
-        SELECT * FROM t""")
-    parents = df.where(F.col(parent_column).isNotNull()).select(F.col(parent_column).alias("__p__")).distinct()
-    out = walk.join(parents, walk["id"] == F.col("__p__"), "left").withColumn("hasChildren", F.col("__p__").isNotNull())
-    return out.select("id", "parent_id", "depth", "path", "hasChildren", (F.col("is_open") & F.col("hasChildren")).alias("expanded")).orderBy("path")
+    parent = F.col(parent_column)
+    is_open = lambda c: F.coalesce(F.lit(True) if open_ids is None else c.isin(list(open_ids)), F.lit(False))
+    d = df.select(F.col(id_column).alias("id"), parent.alias("parent_id")).where(F.col("parent_id").isNull() | is_open(F.col("parent_id")))
+    state = d.withColumn("up", F.col("parent_id")).withColumn("path", F.array(F.col("id").cast("string")))
+    state = materialize(state, "tree")
+    while not (pending := state.where("up is not null")).isEmpty():
+        above = state.select(F.col("id").alias("top"), F.col("up").alias("next"), F.col("path").alias("head"))
+        moved = pending.join(above, pending["up"] == above["top"]).select("id", "parent_id", F.col("next").alias("up"), F.concat("head", "path").alias("path"))
+        moved = moved.where(F.col("up").isNull() | ~F.array_contains("path", F.col("up").cast("string")))
+        state = materialize(state.where("up is null").select("id", "parent_id", "up", "path").unionByName(moved), "tree")
+    parents = df.where(parent.isNotNull()).select(parent.alias("__p__")).distinct()
+    out = state.join(parents, F.col("id") == F.col("__p__"), "left").withColumn("hasChildren", F.col("__p__").isNotNull())
+    return out.select("id", "parent_id", (F.size("path") - 1).alias("depth"), "path", "hasChildren", (is_open(F.col("id")) & F.col("hasChildren")).alias("expanded")).orderBy("path")
 
 
 def tree_count(df: DataFrame, open_ids: list | None = None, **names: str) -> int:

@@ -59,8 +59,8 @@ def schema_from_pragma(rows: list[dict]) -> list[dict]:
 class OutboxSource(DataSource):
     """spark.readStream.format("outbox"): row diffs from a folder of JSON lines {kind, version, pkey, fields}.
 
-    Each poll takes at most `batch` (1000) diffs after the last version, in order; the version is the offset, so a
-    restarted stream goes on where it was.
+    Each poll takes about `batch` (1000) diffs after the last version, in order and never part of a version; the version
+    is the offset, so a restarted stream goes on where it was.
     """
 
     @classmethod
@@ -98,7 +98,11 @@ class _OutboxReader(SimpleDataSourceStreamReader):
         return sorted(out, key=lambda r: r[1])
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self._after(start["version"])[: self.batch]
+        rows = self._after(start["version"])
+        n = self.batch
+        while 0 < n < len(rows) and rows[n][1] == rows[n - 1][1]:  # a version is taken whole
+            n += 1
+        rows = rows[:n]
         return iter(rows), {"version": rows[-1][1] if rows else start["version"]}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:

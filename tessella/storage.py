@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -29,6 +30,33 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder, removed when the driver ends."""
+    path = fresh_path(spark, tag)
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = new_path(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the JVM may be gone already
+            return
+
+
 class Numbered:
     """Tables of a folder, one for each batch number; a batch that is run again overwrites its own."""
 

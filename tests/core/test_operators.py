@@ -243,3 +243,39 @@ def test_any_tree_is_two_valued(people, node):
 def test_dates_compare(spark):
     d = spark.createDataFrame([(dt.datetime(2024, 1, 1),), (dt.datetime(2024, 6, 1),)], "t timestamp_ntz")
     assert predicate.apply_filter(d, cmp("t", "gte", "2024-03-01")).count() == 1
+
+
+def test_tree_of_many_levels(spark):
+    from tessella.operators import tree
+
+    n = 300  # a chain, a cycle, a node without parent in the table
+    rows = [(f"n{k}", f"n{k - 1}" if k else None) for k in range(n)] + [("a", "b"), ("b", "a"), ("lost", "gone"), ("leaf", "n3")]
+    d = spark.createDataFrame(rows, "id string, parent_id string")
+    got = {r.id: r for r in tree.flatten(d).collect()}
+    assert set(got) == {f"n{k}" for k in range(n)} | {"leaf"}
+    assert all(got[f"n{k}"].depth == k and got[f"n{k}"].path == [f"n{j}" for j in range(k + 1)] for k in range(n)) and got["leaf"].depth == 4
+    assert {r.id for r in tree.flatten(d, ["n0", "n2", "n3"]).collect()} == {"n0", "n1"}
+    assert not spark.catalog.listTables() or not any(t.name.startswith("__tree") for t in spark.catalog.listTables())
+
+
+def test_wildcards_of_columns(spark):
+    from tessella.operators import joins
+
+    words = ["a.b", "a*b", "axb", "A?b", "a~b", "a[b", "aab", "(ab)", "a\\b"]
+    marks = ["a.b", "a~*b", "a?b", "a~?b", "a~~b", "a[b", "a*b", "(a*", "a\\b", "z*"]
+    right = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string")
+    left = spark.createDataFrame([(m,) for m in marks], "m string")
+    got = {r.m: r.k for r in joins.lookup_wildcard(left, right, "m", "w", "k", ["k"]).collect()}
+    import re
+
+    want = {m: next((k for k, w in enumerate(words) if re.match(joins.wildcard_pattern(m), w)), None) for m in marks}
+    assert got == want
+
+
+def test_positions(spark):
+    from tessella.operators import ordering
+
+    d = spark.range(1000).selectExpr("id", "if(id % 7 = 0, null, id % 13) as x")
+    got = {r.id: r.pos for r in ordering.positions(d, [{"columnId": "x", "direction": "desc"}], "id").collect()}
+    want = sorted(range(1000), key=lambda i: (i % 7 == 0, -(i % 13) if i % 7 else 0, -i))
+    assert [got[i] for i in want] == list(range(1, 1001))

@@ -64,3 +64,16 @@ def test_outbox_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.version, r.fields["x"]) for r in spark.table("box").orderBy("version").collect()] == [(1, "1"), (2, "2"), (3, "3")]
+
+
+def test_outbox_takes_versions_whole(tmp_path):
+    import json
+
+    from tessella.sources.databases import _OutboxReader
+
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps({"kind": "insert", "version": v, "pkey": str(k), "fields": {}}) for k, v in enumerate([1, 1, 1, 2, 3, 3])))
+    reader, at, seen = _OutboxReader({"path": str(tmp_path), "batch": 2}), {"version": -1}, []
+    for _ in range(4):
+        rows, at = reader.read(at)
+        seen += [r[2] for r in rows]
+    assert seen == [str(k) for k in range(6)]
