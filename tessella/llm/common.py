@@ -1,11 +1,7 @@
-"""Shared helpers of the training-data operators: shared storage, Arrow text buffers, word hashes."""
+"""Shared helpers of the training-data operators: Arrow text buffers, word hashes, joins behind a check of size."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,51 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.storage import materialize, new_path
+
 #: Bytes of text that numpy works on at once; temporary arrays take about 60 times as much.
 SLICE_BYTES = 1 << 19
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = kept.get() if kept.isDefined() else None
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tessella-shared-")
-        spark.sparkContext.setCheckpointDir(where)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where if "://" in where or where.startswith("file:") else f"file://{os.path.abspath(where)}"
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM may be gone already
-            return
-
-
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Keep Arrow batches of whole texts small enough for a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
