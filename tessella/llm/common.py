@@ -14,6 +14,7 @@ from tessella.storage import materialize, new_path
 #: Bytes of text that numpy works on at once; temporary arrays take about 60 times as much.
 SLICE_BYTES = 1 << 19
 
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Keep Arrow batches of whole texts small enough for a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
