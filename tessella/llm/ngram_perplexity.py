@@ -1,12 +1,16 @@
-"""Quality rules by n-gram perplexity: a modified Kneser-Ney model over 6-bit byte classes.
+"""Quality rules by n-gram perplexity: a modified Kneser-Ney model over the code points of all texts.
 
-Spark counts all 4-grams of all texts; the smoothed model is a sorted array of 24-bit n-gram hashes
-(collision-free: four 6-bit classes side by side) with log probabilities, plus dense lower orders. Its size is
-bounded by the alphabet, 2**24 entries, whatever the corpus, so it may be broadcast. Each language has a lower
-and an upper perplexity band from the quartiles of all its distinct texts; texts outside are rejected.
+Spark counts every n-gram of ORDER code points of the distinct texts (a text that stands in many rows counts once, so a
+group of copies does not teach the model itself) and smooths all orders with joins and aggregations over written
+tables. An n-gram is two longs of three 21-bit symbols each, exact for every script; what is counted grows with the
+corpus and is never pruned. For scoring, each order becomes an array of sorted 64-bit hashes with log probabilities
+and backoff weights. Up to MODEL_ROWS entries the arrays are broadcast; a larger model stays a table, each block of
+texts gets the part of it that its own n-grams need, and the scores are the same. Each language has a lower and an upper
+perplexity band from the quartiles of all its distinct texts; texts outside are rejected.
 
 Null texts have no words and fail the base rules; null languages form a language of their own; repeated rows
-are scored alike; further columns are ignored; an empty table gives an empty result.
+are scored alike; very long texts are taken piece by piece; further columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -21,143 +25,262 @@ from pyspark.sql import functions as F
 
 from tessella.llm import common
 
-ORDER, BITS = 4, 6
+ORDER, BITS = 5, 21
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 #: A text of n bytes deviates from its language's median log perplexity by t / sqrt(n); the bands are the quartiles
 #: of t over all distinct texts of the language, SPREAD times their distance, or NARROWEST if that is less, further out,
 #: and TOLERANCE beyond that. So a group of copies, however large, counts once and cannot narrow the band to itself.
 SPREAD, NARROWEST, TOLERANCE = 4.0, 0.5, 0.01
+#: Models of at most so many n-grams and contexts are broadcast: 12 bytes each, 24 on their way through the driver.
+MODEL_ROWS = 1 << 23
+#: At most so many repeated text hashes are broadcast to find the rows that hold them; more are joined as Spark sees fit.
+REPEATED_ROWS = 1 << 20
+#: Bytes of text in a block that is scored with its own part of a model too large to broadcast.
+BLOCK_BYTES = 1 << 24
+#: Distinct n-grams that a counting task holds before it hands them on.
+HELD = 1 << 21
+
+_SYMBOL = (1 << BITS) - 1
+
+
+def symbols(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points plus 1 (0 pads) of UTF-8 rows in one buffer, and the rows' offsets in them."""
+    x = np.frombuffer(b.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+    at = np.zeros(len(b) + 1, np.int64)
+    np.cumsum((b & 0xC0) != 0x80, out=at[1:])
+    return x, at[off]
+
+
+def grams(x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): the n-gram that ends at each symbol, its last three symbols in b; what precedes a row is padding."""
+    a, b = np.zeros(len(x), np.uint64), x.copy()
+    size = np.diff(off)
+    for j in range(1, ORDER):
+        prev = np.zeros(len(x), np.uint64)
+        prev[j:] = x[:-j]
+        for k in range(j):
+            prev[off[:-1][size > k] + k] = 0
+        if j < 3:
+            b |= prev << np.uint64(BITS * j)
+        else:
+            a |= prev << np.uint64(BITS * (j - 3))
+    return a, b
+
+
+def gram_parts(b: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """grams and symbol offsets of rows in one buffer, of a long text part by part."""
+    step = 2 * common.SLICE_BYTES
+    if len(off) > 2 or len(b) <= step:
+        x, o = symbols(b, off)
+        yield *grams(x, o), o
+        return
+    before, lo = np.zeros(0, np.uint64), 0
+    while lo < len(b):
+        hi = min(lo + step, len(b))
+        while hi < len(b) and b[hi] & 0xC0 == 0x80:
+            hi += 1
+        x, _ = symbols(b[lo:hi], np.array([0, hi - lo]))
+        x = np.concatenate([before, x])
+        g, h = grams(x, np.array([0, len(x)]))
+        yield g[len(before) :], h[len(before) :], np.array([0, len(x) - len(before)])
+        before, lo = x[-(ORDER - 1) :], hi
 
 
-def _classes() -> np.ndarray:
-    """Byte -> class: 0 pads, a-z each, A-Z one, digits one, blanks, common marks each, UTF-8 lead and trail bytes by bits."""
-    c = np.full(256, 41, np.uint32)
-    c[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    c[ord("A") : ord("Z") + 1] = 27
-    c[ord("0") : ord("9") + 1] = 28
-    c[[9, 11, 12, 13, 32]] = 29
-    c[10] = 30
-    for k, mark in enumerate(b".,;:!?'\"-("):
-        c[mark] = 31 + k
-    c[list(SYMBOLS)] = 42
-    c[0x80:0xC0] = 43 + np.arange(64) % 16
-    c[0xC0:0x100] = 59 + np.arange(64) // 16
-    return c
+def gram_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of n-grams; those of different lengths differ by their padding or their order's own array."""
+    return common.mix(a * np.uint64(0x9E3779B97F4A7C15) ^ common.mix(b + np.uint64(0xD6E8FEB86659FD93)))
 
 
-_CLASS = _classes()
+def _distinct(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if n is None:
+        _, at, n = np.unique(gram_hash(a, b), return_index=True, return_counts=True)
+        return a[at], b[at], n
+    _, at, inv = np.unique(gram_hash(a, b), return_index=True, return_inverse=True)
+    return a[at], b[at], np.bincount(inv, n, len(at)).astype(np.int64)
 
 
-def gram_keys(b: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The 24-bit key of the 4-gram that ends at each byte; what precedes a row counts as padding."""
-    x = _CLASS[b]
-    key = x.copy()
-    for j in range(1, ORDER):
-        key[j:] |= x[:-j] << np.uint32(BITS * j) if len(x) > j else 0
-    first = np.flatnonzero(np.diff(off) > 0)
-    for j in range(ORDER - 1):
-        at = (off[first] + j)[off[first] + j < off[first + 1]]
-        key[at] &= np.uint32((1 << BITS * (j + 1)) - 1)
-    return key
-
-
-def key_parts(b: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
-    """gram_keys of rows in one buffer, of a long text part by part."""
-    step = 2 * common.SLICE_BYTES
-    if len(off) > 2 or len(b) <= step:
-        yield gram_keys(b, off)
-        return
-    for lo in range(0, len(b), step):
-        back = min(lo, ORDER - 1)
-        part = b[lo - back : lo + step]
-        yield gram_keys(part, np.array([0, len(part)]))[back:]
+def _gram_batch(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b, n = _distinct(*(np.concatenate([p[k] for p in parts]) for k in range(3))) if parts else [np.zeros(0, np.int64)] * 3
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, n)], ["a", "b", "n"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    held, most = 0, 1 << 21
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in parts] or [np.zeros(0, np.uint32)]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([c for _, c in parts] or [np.zeros(0)]), len(keys)).astype(np.int64)
-
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = most = 0
     for batch in batches:
         b, off = common.text_buffer(batch.column(0))
-        for k in (k for lo, hi in common.groups(off) for k in key_parts(b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])):
-            parts.append(np.unique(k, return_counts=True))
-            held += len(parts[-1][0])
-            if held > most:
-                parts[:] = [merged()]
-                held = len(parts[0][0])
-                most = max(most, 2 * held)
-    keys, counts = merged()
-    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["key", "n"])
+        for lo, hi in common.groups(off):
+            for x, y, _ in gram_parts(b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]):
+                parts.append(_distinct(x, y))
+                held += len(parts[-1][0])
+                if held > max(most, HELD):
+                    parts = [_distinct(*(np.concatenate([p[k] for p in parts]) for k in range(3)))]
+                    held = len(parts[0][0])
+                    if held > HELD:
+                        yield _gram_batch(parts)
+                        parts, held = [], 0
+                    most = 2 * held
+    yield _gram_batch(parts)
+
+
+def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per distinct text; only texts that are repeated are moved, after each task has dropped its own copies."""
+    d = docs.select(F.col(text).alias("text")).where("text <> ''").withColumn("text_key", F.xxhash64("text"))
+    again = common.materialize(d.groupBy("text_key").count().where("count > 1").select("text_key", F.lit(True).alias("again")), "repeated")
+    d = d.join(F.broadcast(again) if again.count() <= REPEATED_ROWS else again, "text_key", "left")
+    once = d.where("again is null").select("text")
+    return once.unionByName(d.where("again").groupBy("text_key").agg(F.min("text").alias("text")).select("text"))
 
 
 def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, n): each distinct 4-gram of all texts with its count; counted within tasks, summed by Spark."""
+    """(a, b, n): each distinct n-gram of all distinct texts with its count; counted within tasks, summed by Spark."""
     common.small_batches(docs.sparkSession)
-    return docs.select(F.col(text)).mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return distinct_texts(docs, text).mapInArrow(_count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _context() -> list[Column]:
+    """The n-gram without its last symbol."""
+    return [F.shiftright("a", BITS).alias("ca"), F.shiftleft(F.col("a").bitwiseAND(_SYMBOL), 2 * BITS).bitwiseOR(F.shiftright("b", BITS)).alias("cb")]
+
+
+def _suffix(m: int) -> list[Column]:
+    """The last m symbols of an n-gram."""
+    high, low = (1 << BITS * max(m - 3, 0)) - 1, (1 << BITS * min(m, 3)) - 1
+    return [F.col("a").bitwiseAND(F.lit(high)).alias("sa"), F.col("b").bitwiseAND(F.lit(low)).alias("sb")]
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """D for counts 0, 1, 2 and 3 or more, from the counts of counts; 0.5, or 0.5, 1, 1.5, where these are degenerate."""
+    if not n1 or not n2 or not n3:
+        return [0, 0.5, 1.0, 1.5] if n1 else [0, 0.5, 0.5, 0.5]
+    y = n1 / (n1 + 2 * n2)
+    d = [0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+    return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95]).tolist()
+
+
+def smooth(counts: DataFrame) -> DataFrame:
+    """(m, kind, a, b, v): for each order m, log p of its n-grams (kind 0) and log backoff weights of its contexts (kind 1).
+
+    Interpolated modified Kneser-Ney: below the top order an n-gram counts the distinct symbols to its left. No group
+    here has more rows than there are code points.
+    """
+    types = {ORDER: common.materialize(counts, "ngrams")}
+    for m in range(ORDER - 1, 0, -1):
+        t = types[m + 1].select(*_suffix(m)).groupBy(F.col("sa").alias("a"), F.col("sb").alias("b")).agg(F.count("*").alias("n"))
+        types[m] = common.materialize(t, "ngrams")
+    p, parts = None, []
+    for m in range(1, ORDER + 1):
+        of = types[m].agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)], F.count("*")).first()
+        d = discounts(*of[:4])
+        cut = F.when(F.col("n") == 1, d[1]).when(F.col("n") == 2, d[2]).otherwise(d[3])
+        t = types[m].select("a", "b", "n", cut.alias("cut"), *_context(), *_suffix(m - 1))
+        c = common.materialize(t.groupBy("ca", "cb").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("gamma")), "contexts")
+        t = t.join(c, ["ca", "cb"])
+        t = t.withColumn("lower", F.lit(1.0 / (of[4] + 1))) if p is None else t.join(p.select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("p").alias("lower")), ["sa", "sb"])
+        p = common.materialize(t.select("a", "b", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p")), "smoothed")
+        parts.append(p.select(F.lit(m).alias("m"), F.lit(0).alias("kind"), "a", "b", F.ln("p").alias("v")))
+        parts.append(c.select(F.lit(m), F.lit(1), "ca", "cb", F.ln("gamma")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney; .keys and .logp are the sorted hash array of the top order."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        top, n = keys[order].astype(np.int64), counts[order].astype(np.float64)
-        types = [None] * (ORDER + 1)
-        adjusted = [None] * (ORDER + 1)
-        types[ORDER], adjusted[ORDER] = top, n
-        for m in range(ORDER - 1, 0, -1):  # continuation counts: distinct symbols to the left
-            types[m], c = np.unique(types[m + 1] & ((1 << BITS * m) - 1), return_counts=True)
-            adjusted[m] = c.astype(np.float64)
-        lower = np.full(1 << BITS, 1 / (1 << BITS))
+    """The smoothed model as sorted hash arrays, those of log p and of backoff weights for each order."""
+
+    def __init__(self, rows: pa.Table):
+        col = {c: rows.column(c).to_numpy() for c in rows.column_names}
+        self.levels = []
         for m in range(1, ORDER + 1):
-            a, ctx = adjusted[m], types[m] >> BITS
-            d = self.discounts(a)
-            cut = d[np.minimum(a, 3).astype(np.int64)]
-            size = 1 << BITS * (m - 1)
-            total = np.bincount(ctx, a, size)
-            gamma = np.where(total > 0, np.bincount(ctx, cut, size) / np.maximum(total, 1), 1.0)
-            if m < ORDER:
-                every = np.arange(1 << BITS * m)
-                p = gamma[every >> BITS] * lower[every & (len(lower) - 1)] if m > 1 else gamma[0] * lower
-                p[types[m]] += (a - cut) / total[ctx]
-                lower = p
-        self.keys = top.astype(np.uint32)
-        self.logp = np.log((a - cut) / total[ctx] + gamma[ctx] * lower[top & (len(lower) - 1)]) if len(top) else n
-        self.log_gamma, self.log_lower = np.log(gamma).astype(np.float32), np.log(lower).astype(np.float32)
-        self.logp = self.logp.astype(np.float32)
+            both = []
+            for kind in (0, 1):
+                at = np.flatnonzero((col["m"] == m) & (col["kind"] == kind))
+                key = gram_hash(col["a"][at].astype(np.uint64), col["b"][at].astype(np.uint64))
+                order = np.argsort(key)
+                both += [key[order], col["v"][at][order].astype(np.float32)]
+            self.levels.append(both)
+        self.floor = np.float32(-np.log(len(self.levels[0][0]) + 1))
 
     @staticmethod
-    def discounts(a: np.ndarray) -> np.ndarray:
-        """D for counts 0, 1, 2 and 3 or more, from the counts of counts; 0.5, 1, 1.5 where these are degenerate."""
-        n1, n2, n3, n4 = (int((a == k).sum()) for k in (1, 2, 3, 4))
-        if not n1 or not n2 or not n3:
-            return np.array([0, 0.5, 1.0, 1.5]) if len(a) and n1 else np.array([0, 0.5, 0.5, 0.5])
-        y = n1 / (n1 + 2 * n2)
-        d = np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-        return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95])
-
-    def score(self, key: np.ndarray) -> np.ndarray:
+    def _find(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """values of h by key, nan where there is none."""
+        if not len(keys):
+            return np.full(len(h), np.nan, np.float32)
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return np.where(keys[at] == h, values[at], np.float32(np.nan))
+
+    def score(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """log p of the last symbol of each n-gram; unseen ones back off."""
-        if not len(self.keys):
-            return np.full(len(key), -BITS * np.log(2), np.float32)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        out = self.logp[at]
-        miss = np.flatnonzero(self.keys[at] != key)
-        if len(miss):
-            k = key[miss].astype(np.int64)
-            out[miss] = self.log_gamma[k >> BITS] + self.log_lower[k & (len(self.log_lower) - 1)]
+        u, inv = np.unique(gram_hash(a, b), return_inverse=True)
+        out = self._find(*self.levels[-1][:2], u)[inv]
+        left, weight = np.flatnonzero(np.isnan(out)), 0
+        for m in range(ORDER, 0, -1):
+            if not len(left):
+                return out
+            x, y = self._last(a[left], b[left], m)
+            if m < ORDER:
+                p = self._find(*self.levels[m - 1][:2], gram_hash(x, y))
+                out[left] = p + weight
+                weight, left, x, y = (v[np.isnan(p)] for v in (weight, left, x, y))
+            ca, cb = x >> np.uint64(BITS), (x & np.uint64(_SYMBOL)) << np.uint64(2 * BITS) | y >> np.uint64(BITS)
+            weight = weight + np.nan_to_num(self._find(*self.levels[m - 1][2:], gram_hash(ca, cb)))
+        out[left] = self.floor + weight
         return out
 
+    @staticmethod
+    def _last(a: np.ndarray, b: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        return a & np.uint64((1 << BITS * max(m - 3, 0)) - 1), b & np.uint64((1 << BITS * min(m, 3)) - 1)
+
 
-def fit(docs: DataFrame, text: str = "text") -> KneserNey:
-    """The model of all texts; at most 2**24 counts come to the driver."""
-    t = count_ngrams(docs, text).toArrow()
-    return KneserNey(t.column("key").to_numpy(), t.column("n").to_numpy())
+def fit(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The smoothed model of all distinct texts, a written table."""
+    return common.materialize(smooth(count_ngrams(docs, text)), "model")
+
+
+def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the blocks of about BLOCK_BYTES that the rows of a task fill; a longer text is a block of its own."""
+    from pyspark import TaskContext
+
+    number, held = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        size = np.diff(common.text_buffer(batch.column(batch.num_columns - 1))[1])
+        of = np.zeros(len(size), np.int64)
+        for i, n in enumerate(size.tolist()):
+            if held and held + n > BLOCK_BYTES:
+                number, held = number + 1, 0
+            held += n
+            of[i] = number
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of)], [*batch.schema.names, "block"])
+
+
+def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, a, b): the distinct n-grams of the rows of a block in a batch."""
+    for batch in batches:
+        block = batch.column(1).to_numpy()
+        for k in np.unique(block):
+            b, off = common.text_buffer(batch.column(0).filter(pa.array(block == k)))
+            for lo, hi in common.groups(off):
+                for x, y, _ in gram_parts(b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]):
+                    x, y, _ = _distinct(x, y)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int64)), pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64))], ["block", "a", "b"])
+
+
+def _score_by_blocks(d: DataFrame, model: DataFrame, keep: list[str], schema: str) -> DataFrame:
+    """Score texts with a model that is too large to broadcast: the model counted them, so all their n-grams are in it."""
+    kinds = ", ".join(f"{c} {t}" for c, t in d.dtypes)
+    rows = common.materialize(d.mapInArrow(_block, f"{kinds}, block long"), "blocks")
+    top = model.where((F.col("m") == ORDER) & (F.col("kind") == 0))
+    need = rows.select("text", "block").mapInArrow(_needs, "block long, a long, b long").distinct()
+    part = need.join(top, ["a", "b"])
+
+    def run(texts: pa.Table, model: pa.Table) -> pa.Table:
+        kn = KneserNey(model)
+        out = list(_scored(kn, keep, texts.select([*keep, "text"]).to_batches(max_chunksize=2000)))
+        return pa.Table.from_batches(out, out[0].schema)
+
+    return rows.groupBy("block").cogroup(part.groupBy("block")).applyInArrow(run, schema)
 
 
 _SYM = np.zeros(256, np.int64)
@@ -208,31 +331,30 @@ def duplicate_lines(text: str) -> int:
     return n
 
 
+def _scored(kn: KneserNey, keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("n_words", "word_chars", "n_symbols", "n_repeat_words", "loglik", "n_bytes", "n_chars")
+    for batch in batches:
+        col = batch.column(len(keep))
+        b, off = common.text_buffer(col)
+        parts = []
+        for lo, hi in common.groups(off):
+            x, o = b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+            s = base_stats(x, o)
+            sums = [(common.seg_sum(kn.score(p, q).astype(np.float64), at), np.diff(at)) for p, q, at in gram_parts(x, o)]
+            s["loglik"], s["n_chars"], s["n_bytes"] = sum(v for v, _ in sums), sum(n for _, n in sums), np.diff(o)
+            parts.append(s)
+        cat = {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in names}
+        dup = np.array([duplicate_lines(t) if t else 0 for t in col.to_pylist()], np.int64)
+        ints = [pa.array(cat[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols")]
+        logppl = -cat["loglik"] / np.maximum(cat["n_chars"], 1)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(i) for i in range(len(keep))] + [*ints, pa.array(dup), pa.array(cat["n_repeat_words"].astype(np.int64)), pa.array(cat["n_bytes"].astype(np.int64)), pa.array(logppl.astype(np.float64))],
+            [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "log_perplexity"],
+        )
+
+
 def _scorer(model, keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kn = model.value
-        for batch in batches:
-            col = batch.column(len(keep))
-            b, off = common.text_buffer(col)
-            parts = []
-            for lo, hi in common.groups(off):
-                x, o = b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                s = base_stats(x, o)
-                long = len(o) == 2  # one text, maybe in parts
-                scores = (kn.score(k).astype(np.float64) for k in key_parts(x, o))
-                s["loglik"] = np.array([sum(float(v.sum()) for v in scores)]) if long else common.seg_sum(next(scores), o)
-                s["n_bytes"] = np.diff(o)
-                parts.append(s)
-            cat = {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "loglik", "n_bytes")}
-            dup = np.array([duplicate_lines(t) if t else 0 for t in col.to_pylist()], np.int64)
-            ints = [pa.array(cat[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols")]
-            logppl = -cat["loglik"] / np.maximum(cat["n_bytes"], 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(keep))] + [*ints, pa.array(dup), pa.array(cat["n_repeat_words"].astype(np.int64)), pa.array(cat["n_bytes"].astype(np.int64)), pa.array(logppl.astype(np.float64))],
-                [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "log_perplexity"],
-            )
-
-    return run
+    return lambda batches: _scored(model.value, keep, batches)
 
 
 def base_failed() -> Column:
@@ -264,15 +386,20 @@ def bands(scored: DataFrame) -> DataFrame:
 def score_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model: KneserNey | None = None) -> DataFrame:
     """One row per document: counts, perplexity, its language's bands, base_failed and kept.
 
-    The model counts every text unless one is given. The scored rows, without texts, are written to the shared
-    folder once, as the bands need all of them before any verdict.
+    The model counts every distinct text unless one is given. The scored rows, without texts, are written to the
+    shared folder once, as the bands need all of them before any verdict.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    kn = spark.sparkContext.broadcast(model or fit(d))
-    kinds = dict(d.dtypes)
-    rows = d.mapInArrow(_scorer(kn, ["doc_id", "lang", "text_key"]), f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, log_perplexity double")
+    kinds, keep = dict(d.dtypes), ["doc_id", "lang", "text_key"]
+    schema = f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, log_perplexity double"
+    table = fit(d) if model is None else None
+    if table is not None and table.count() > MODEL_ROWS:
+        rows = _score_by_blocks(d, table, keep, schema)
+    else:
+        kn = spark.sparkContext.broadcast(model or KneserNey(table.toArrow()))
+        rows = d.mapInArrow(_scorer(kn, keep), schema)
     rows = rows.withColumn("base_failed", base_failed()).withColumn("lang_key", F.coalesce(F.col("lang").cast("string"), F.lit("")))
     rows = common.materialize(rows, "perplexity")
     root = F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))

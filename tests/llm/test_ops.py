@@ -72,40 +72,75 @@ def test_quality_counts(docs, texts):
         assert not (r.base_failed and r.kept)
 
 
-def test_kneser_ney_by_definition():
+def test_kneser_ney_by_definition(spark):
     rng = random.Random(3)
-    col = pa.array([prose(rng, 50) for _ in range(5)] + ["", None, "zz"])
-    b, off = common.text_buffer(col)
-    keys = ngram_perplexity.gram_keys(b, off)
-    flat = [0] * 3
+    m = ngram_perplexity.ORDER
+    texts = [prose(rng, 50) for _ in range(5)] + ["", None, "zz", "\u5b57\U0001f600 \u00e9"]
+    col = pa.array(texts)
     want = []
-    for t in col.to_pylist():
-        s = flat + [int(ngram_perplexity._CLASS[x]) for x in (t or "").encode()]
-        want += [tuple(s[k : k + 4]) for k in range(len(s) - 3)]
-    assert keys.tolist() == [a << 18 | x << 12 | y << 6 | z for a, x, y, z in want]
-    u, n = np.unique(keys, return_counts=True)
-    kn = ngram_perplexity.KneserNey(u, n)
-    top = collections.Counter(want)
-    types = {4: dict(top)}
-    for m in (3, 2, 1):
-        types[m] = collections.Counter(g[1:] for g in types[m + 1])
+    for t in texts:
+        s = [0] * (m - 1) + [ord(x) + 1 for x in t or ""]
+        want += [tuple(s[k : k + m]) for k in range(len(s) - m + 1)]
+
+    def packed(g):
+        g = [0] * (6 - len(g)) + list(g)
+        return g[0] << 42 | g[1] << 21 | g[2], g[3] << 42 | g[4] << 21 | g[5]
+
+    parts = list(ngram_perplexity.gram_parts(*common.text_buffer(col)))
+    assert [(int(x), int(y)) for a, b, _ in parts for x, y in zip(a, b)] == [packed(g) for g in want]
+    rows = [(t,) for t in texts + texts[:3] * 4]  # copies count once
+    kn = ngram_perplexity.KneserNey(ngram_perplexity.fit(spark.createDataFrame(rows, "text string")).toArrow())
+    types = {m: dict(collections.Counter(want))}
+    for k in range(m - 1, 0, -1):
+        types[k] = collections.Counter(g[1:] for g in types[k + 1])
+    size = len(types[1])
 
     def p(g):
-        m = len(g)
-        if not m:
-            return 1 / 64
-        d = kn.discounts(np.array(list(types[m].values())))
-        mine = {k: v for k, v in types[m].items() if k[:-1] == g[:-1]}
+        k = len(g)
+        if not k:
+            return 1 / (size + 1)
+        of = collections.Counter(types[k].values())
+        d = ngram_perplexity.discounts(of[1], of[2], of[3], of[4])
+        mine = {x: v for x, v in types[k].items() if x[:-1] == g[:-1]}
         total = sum(mine.values())
         if not total:
             return p(g[1:])
-        c = types[m].get(g, 0)
+        c = types[k].get(g, 0)
         return (c - d[min(c, 3)]) / total + sum(d[min(v, 3)] for v in mine.values()) / total * p(g[1:])
 
-    for g in [want[0], want[77], want[-1], (1, 2, 3, 4), (63, 63, 63, 63)]:
-        key = np.array([g[0] << 18 | g[1] << 12 | g[2] << 6 | g[3]], np.uint32)
-        assert math.exp(kn.score(key)[0]) == pytest.approx(p(g), rel=1e-4)
-    assert sum(p((*want[10][:3], z)) for z in range(64)) == pytest.approx(1)
+    asked = [want[0], want[77], want[-1], (1, 2, 3, 4, 5), (98, 102, 33, 33, 98), (*want[9][1:], 98), (*want[9][1:], 7)]
+    a, b = (np.array(x, np.uint64) for x in zip(*map(packed, asked)))
+    assert np.exp(kn.score(a, b)).tolist() == pytest.approx([p(g) for g in asked], rel=1e-4)
+    assert sum(p((*want[10][:-1], z)) for z in [g[0] for g in types[1]] + [1]) == pytest.approx(1)
+
+
+def test_large_models_go_by_blocks(spark, docs, monkeypatch):
+    """A model that is not broadcast gives the same scores, in blocks of a few texts."""
+    one = {r.doc_id: r for r in ngram_perplexity.score_quality(docs).collect()}
+    monkeypatch.setattr(ngram_perplexity, "MODEL_ROWS", 10)
+    monkeypatch.setattr(ngram_perplexity, "REPEATED_ROWS", 0)
+    monkeypatch.setattr(ngram_perplexity, "BLOCK_BYTES", 20_000)
+    two = {r.doc_id: r for r in ngram_perplexity.score_quality(docs).collect()}
+    assert one.keys() == two.keys()
+    for i, r in one.items():
+        assert two[i].perplexity == pytest.approx(r.perplexity, rel=1e-6) and (two[i].n_words, two[i].base_failed, two[i].kept) == (r.n_words, r.base_failed, r.kept)
+
+
+def test_counting_hands_on_what_it_holds(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array([prose(random.Random(k), 200) for k in range(9)])], ["text"])
+
+    def total(batches):
+        out = collections.Counter()
+        for x in batches:
+            for a, b, n in zip(*(x.column(k).to_pylist() for k in range(3))):
+                out[a, b] += n
+        return out
+
+    monkeypatch.setattr(common, "SLICE_BYTES", 500)
+    whole = total(ngram_perplexity._count(iter([batch])))
+    monkeypatch.setattr(ngram_perplexity, "HELD", 300)
+    some = list(ngram_perplexity._count(iter([batch])))
+    assert len(some) > 2 and total(some) == whole
 
 
 def test_quality_rejects_odd_text(spark):
@@ -784,16 +819,16 @@ def test_long_texts_in_pieces(texts, monkeypatch):
 
     def everything():
         out = []
-        model = ngram_perplexity.KneserNey(*np.unique(ngram_perplexity.gram_keys(b, off), return_counts=True))
         for lo, hi in common.groups(off):
             x, o = b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             s = ngram_perplexity.base_stats(x, o)
-            keys = np.concatenate(list(ngram_perplexity.key_parts(x, o)))
+            keys = ngram_perplexity.gram_hash(*(np.concatenate(v) for v in list(zip(*ngram_perplexity.gram_parts(x, o)))[:2]))
+            cut = ngram_perplexity.symbols(x, o)[1]
             h, row = toxicity.word_keys(x, o)
             sets, at = near_duplicates.shingle_sets(x, o)
             for i in range(hi - lo):
-                own = keys[o[i] : o[i + 1]] if hi - lo > 1 else keys
-                out.append(([int(s[k][i]) for k in sorted(s)], own.tolist(), float(model.score(own).sum()), h[row == i].tolist(), sets[at[i] : at[i + 1]].tolist()))
+                own = keys[cut[i] : cut[i + 1]]
+                out.append(([int(s[k][i]) for k in sorted(s)], own.tolist(), h[row == i].tolist(), sets[at[i] : at[i + 1]].tolist()))
         return out
 
     whole = everything()
