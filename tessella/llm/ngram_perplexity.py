@@ -39,7 +39,7 @@ REPEATED_ROWS = 1 << 20
 #: Bytes of text in a block that is scored with its own part of a model too large to broadcast.
 BLOCK_BYTES = 1 << 24
 #: Distinct n-grams that a counting task holds before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
 
 _SYMBOL = (1 << BITS) - 1
 
@@ -107,20 +107,19 @@ def _gram_batch(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Re
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held = most = 0
+    held = 0
     for batch in batches:
         b, off = common.text_buffer(batch.column(0))
         for lo, hi in common.groups(off):
             for x, y, _ in gram_parts(b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]):
                 parts.append(_distinct(x, y))
                 held += len(parts[-1][0])
-                if held > max(most, HELD):
+                if held > HELD:
                     parts = [_distinct(*(np.concatenate([p[k] for p in parts]) for k in range(3)))]
                     held = len(parts[0][0])
-                    if held > HELD:
+                    if held > HELD // 2:
                         yield _gram_batch(parts)
                         parts, held = [], 0
-                    most = 2 * held
     yield _gram_batch(parts)
 
 
