@@ -32,7 +32,7 @@ MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 #: of t over all distinct texts of the language, SPREAD times their distance, or NARROWEST if that is less, further out,
 #: and TOLERANCE beyond that. So a group of copies, however large, counts once and cannot narrow the band to itself.
 SPREAD, NARROWEST, TOLERANCE = 4.0, 0.5, 0.01
-#: Models of at most so many n-grams and contexts are broadcast: 12 bytes each, 24 on their way through the driver.
+#: Models of at most so many n-grams and contexts are broadcast: 12 bytes each, 14 on their way through the driver.
 MODEL_ROWS = 1 << 23
 #: At most so many repeated text hashes are broadcast to find the rows that hold them; more are joined as Spark sees fit.
 REPEATED_ROWS = 1 << 20
@@ -158,8 +158,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95]).tolist()
 
 
-def smooth(counts: DataFrame) -> DataFrame:
-    """(m, kind, a, b, v): for each order m, log p of its n-grams (kind 0) and log backoff weights of its contexts (kind 1).
+def smooth(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1, its n-grams' probabilities (a, b, p) and its contexts' backoff weights (ca, cb, gamma).
 
     Interpolated modified Kneser-Ney: below the top order an n-gram counts the distinct symbols to its left. No group
     here has more rows than there are code points.
@@ -168,40 +168,57 @@ def smooth(counts: DataFrame) -> DataFrame:
     for m in range(ORDER - 1, 0, -1):
         t = types[m + 1].select(*_suffix(m)).groupBy(F.col("sa").alias("a"), F.col("sb").alias("b")).agg(F.count("*").alias("n"))
         types[m] = common.materialize(t, "ngrams")
-    p, parts = None, []
+    out = []
     for m in range(1, ORDER + 1):
         of = types[m].agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)], F.count("*")).first()
         d = discounts(*of[:4])
         cut = F.when(F.col("n") == 1, d[1]).when(F.col("n") == 2, d[2]).otherwise(d[3])
         t = types[m].select("a", "b", "n", cut.alias("cut"), *_context(), *_suffix(m - 1))
-        c = common.materialize(t.groupBy("ca", "cb").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("gamma")), "contexts")
+        freed = d[1] * F.count_if(F.col("n") == 1) + d[2] * F.count_if(F.col("n") == 2) + d[3] * F.count_if(F.col("n") > 2)
+        c = t.groupBy("ca", "cb").agg(F.sum("n").alias("total"), (freed / F.sum("n")).alias("gamma"))
         t = t.join(c, ["ca", "cb"])
-        t = t.withColumn("lower", F.lit(1.0 / (of[4] + 1))) if p is None else t.join(p.select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("p").alias("lower")), ["sa", "sb"])
-        p = common.materialize(t.select("a", "b", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p")), "smoothed")
-        parts.append(p.select(F.lit(m).alias("m"), F.lit(0).alias("kind"), "a", "b", F.ln("p").alias("v")))
-        parts.append(c.select(F.lit(m), F.lit(1), "ca", "cb", F.ln("gamma")))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
+        if m == 1:
+            t = t.withColumn("lower", F.lit(1.0 / (of[4] + 1)))
+        else:
+            t = t.join(out[-1][0].select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("p").alias("lower")), ["sa", "sb"])
+        p = t.select("a", "b", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p"))
+        out.append((p, c.select("ca", "cb", "gamma")))
     return out
 
 
+def _top(levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    return levels[-1][0].select(F.lit(ORDER).cast("tinyint").alias("m"), F.lit(0).cast("tinyint").alias("kind"), "a", "b", F.ln("p").alias("v"))
+
+
+_HASHED = pa.schema([("m", pa.int8()), ("kind", pa.int8()), ("key", pa.int64()), ("v", pa.float32())])
+
+
+def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x in batches:
+        key = gram_hash(*(x.column(c).to_numpy().astype(np.uint64) for c in ("a", "b")))
+        yield pa.RecordBatch.from_arrays([x.column("m"), x.column("kind"), pa.array(key.view(np.int64)), x.column("v").cast(pa.float32())], schema=_HASHED)
+
+
 class KneserNey:
     """The smoothed model as sorted hash arrays, those of log p and of backoff weights for each order."""
 
     def __init__(self, rows: pa.Table):
-        col = {c: rows.column(c).to_numpy() for c in rows.column_names}
+        m, kind, keys, values = (rows.column(c).to_numpy() for c in ("m", "kind", "key", "v"))
         self.levels = []
-        for m in range(1, ORDER + 1):
+        for k in range(1, ORDER + 1):
             both = []
-            for kind in (0, 1):
-                at = np.flatnonzero((col["m"] == m) & (col["kind"] == kind))
-                key = gram_hash(col["a"][at].astype(np.uint64), col["b"][at].astype(np.uint64))
-                order = np.argsort(key)
-                both += [key[order], col["v"][at][order].astype(np.float32)]
+            for of in (0, 1):
+                at = np.flatnonzero((m == k) & (kind == of))
+                at = at[np.argsort(keys[at].view(np.uint64))]
+                both += [keys[at].view(np.uint64), values[at]]
             self.levels.append(both)
         self.floor = np.float32(-np.log(len(self.levels[0][0]) + 1))
 
+    @classmethod
+    def collect(cls, model: DataFrame) -> KneserNey:
+        """The arrays of a model's table; 14 bytes an entry on their way through the driver."""
+        return cls(model.mapInArrow(_hash, "m tinyint, kind tinyint, key long, v float").toArrow())
+
     @staticmethod
     def _find(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
         """values of h by key, nan where there is none."""
@@ -234,8 +251,16 @@ class KneserNey:
 
 
 def fit(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The smoothed model of all distinct texts, a written table."""
-    return common.materialize(smooth(count_ngrams(docs, text)), "model")
+    """(m, kind, a, b, v), a written table: for each order m, log p of the n-grams of all distinct texts (kind 0) and log
+    backoff weights of their contexts (kind 1).
+    """
+    levels = smooth(count_ngrams(docs, text))
+    out = _top(levels)
+    for m, (p, c) in enumerate(levels, 1):
+        if m < ORDER:
+            out = out.union(p.select(F.lit(m).cast("tinyint"), F.lit(0).cast("tinyint"), "a", "b", F.ln("p")))
+        out = out.union(c.select(F.lit(m).cast("tinyint"), F.lit(1).cast("tinyint"), "ca", "cb", F.ln("gamma")))
+    return common.materialize(out, "model")
 
 
 def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,12 +295,11 @@ def _score_by_blocks(d: DataFrame, model: DataFrame, keep: list[str], schema: st
     """Score texts with a model that is too large to broadcast: the model counted them, so all their n-grams are in it."""
     kinds = ", ".join(f"{c} {t}" for c, t in d.dtypes)
     rows = common.materialize(d.mapInArrow(_block, f"{kinds}, block long"), "blocks")
-    top = model.where((F.col("m") == ORDER) & (F.col("kind") == 0))
     need = rows.select("text", "block").mapInArrow(_needs, "block long, a long, b long").distinct()
-    part = need.join(top, ["a", "b"])
+    part = need.join(model, ["a", "b"])
 
     def run(texts: pa.Table, model: pa.Table) -> pa.Table:
-        kn = KneserNey(model)
+        kn = KneserNey(pa.Table.from_batches(_hash(iter(model.to_batches())), _HASHED))
         out = list(_scored(kn, keep, texts.select([*keep, "text"]).to_batches(max_chunksize=2000)))
         return pa.Table.from_batches(out, out[0].schema)
 
@@ -385,22 +409,27 @@ def bands(scored: DataFrame) -> DataFrame:
 def score_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model: KneserNey | None = None) -> DataFrame:
     """One row per document: counts, perplexity, its language's bands, base_failed and kept.
 
-    The model counts every distinct text unless one is given. The scored rows, without texts, are written to the
-    shared folder once, as the bands need all of them before any verdict.
+    The model counts every distinct text unless one is given, fitted on other rows. The scored rows, without texts,
+    are written to the shared folder once, as the bands need all of them before any verdict.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     kinds, keep = dict(d.dtypes), ["doc_id", "lang", "text_key"]
     schema = f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, log_perplexity double"
-    table = fit(d) if model is None else None
-    if table is not None and table.count() > MODEL_ROWS:
-        rows = _score_by_blocks(d, table, keep, schema)
+    kn = None
+    if model is None:  # all n-grams of the texts are in the top order, so no other is needed
+        top = common.materialize(_top(smooth(count_ngrams(d))), "model")
+        model = KneserNey.collect(top) if top.count() <= MODEL_ROWS else None
+    if model is None:
+        rows = _score_by_blocks(d, top, keep, schema)
     else:
-        kn = spark.sparkContext.broadcast(model or KneserNey(table.toArrow()))
+        kn = spark.sparkContext.broadcast(model)
         rows = d.mapInArrow(_scorer(kn, keep), schema)
     rows = rows.withColumn("base_failed", base_failed()).withColumn("lang_key", F.coalesce(F.col("lang").cast("string"), F.lit("")))
     rows = common.materialize(rows, "perplexity")
+    if kn is not None:
+        kn.destroy()
     root = F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
     out = rows.join(common.small_side(bands(rows), "bands"), "lang_key", "left").withColumn("low", F.exp(F.col("mid") + F.col("low_t") / root - TOLERANCE)).withColumn("high", F.exp(F.col("mid") + F.col("high_t") / root + TOLERANCE))
     inside = F.exp("log_perplexity").between(F.col("low"), F.col("high"))

@@ -89,7 +89,7 @@ def test_kneser_ney_by_definition(spark):
     parts = list(ngram_perplexity.gram_parts(*common.text_buffer(col)))
     assert [(int(x), int(y)) for a, b, _ in parts for x, y in zip(a, b)] == [packed(g) for g in want]
     rows = [(t,) for t in texts + texts[:3] * 4]  # copies count once
-    kn = ngram_perplexity.KneserNey(ngram_perplexity.fit(spark.createDataFrame(rows, "text string")).toArrow())
+    kn = ngram_perplexity.KneserNey.collect(ngram_perplexity.fit(spark.createDataFrame(rows, "text string")))
     types = {m: dict(collections.Counter(want))}
     for k in range(m - 1, 0, -1):
         types[k] = collections.Counter(g[1:] for g in types[k + 1])
