@@ -2,6 +2,7 @@ import cmath
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 
 from tessella.functions import compiler
@@ -148,3 +149,23 @@ def test_dates_in_rows(spark):
 def test_every_function_is_registered():
     compiler._load()
     assert len(compiler.REGISTRY) >= 400
+
+
+def test_distributions_take_whole_columns():
+    from tessella.functions import distributions as d
+
+    p, n = np.linspace(1e-6, 1 - 1e-6, 20_000), np.tile(np.arange(1.0, 41.0), 500)
+    for inverse, cdf in ((d.t_inv, d.t_cdf), (lambda p, n: d.gamma_inv(p, n, 2.0), lambda x, n: d.gamma_p(n, x / 2)), (lambda p, n: d.f_inv(p, n, n), lambda x, n: d.f_cdf(x, n, n)), (lambda p, n: d.beta_inv(p, n, n), lambda x, n: d.beta_i(n, n, x))):
+        assert np.abs(cdf(inverse(p, n), n) - p).max() < 1e-12
+    calls = []
+    root = d.solve(lambda x, at: [calls.append(len(at)), x**3 - p[at]][1], np.zeros(len(p)), np.full(len(p), np.inf))
+    assert np.allclose(root, np.cbrt(p), rtol=1e-14) and len(calls) < 60 and sum(calls) < 20 * len(p)
+
+
+def test_distributions_far_out(spark):
+    df = spark.createDataFrame([(1e-9, 1.0), (1.0, 1.0), (None, 1.0), (0.25, -1.0)], "p double, n double").coalesce(1)
+    got = [r.t for r in with_formula(df, "t", "T.INV([@p],[@n])").collect()]
+    assert got == [pytest.approx(-1 / math.tan(math.pi * 1e-9), rel=1e-9), None, None, None]
+    both = df.unionByName(df).coalesce(1)  # equal arguments are met once
+    seen = [r.b for r in with_formula(both, "b", "BETA.INV([@p],2,3)").collect()]
+    assert seen[1] == 1.0 and seen[2] is None and seen[:4] == seen[4:]
