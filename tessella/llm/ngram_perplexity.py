@@ -162,7 +162,8 @@ def smooth(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """For each order from 1, its n-grams' probabilities (a, b, p) and its contexts' backoff weights (ca, cb, gamma).
 
     Interpolated modified Kneser-Ney: below the top order an n-gram counts the distinct symbols to its left. No group
-    here has more rows than there are code points.
+    here has more rows than there are code points. Lower orders are written tables, so that no plan holds all orders:
+    what the driver keeps of a plan and its tasks' metrics grows with the plan and is sent again after each stage.
     """
     types = {ORDER: common.materialize(counts, "ngrams")}
     for m in range(ORDER - 1, 0, -1):
@@ -182,7 +183,7 @@ def smooth(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         else:
             t = t.join(out[-1][0].select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("p").alias("lower")), ["sa", "sb"])
         p = t.select("a", "b", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p"))
-        out.append((p, c.select("ca", "cb", "gamma")))
+        out.append((common.materialize(p, "smoothed") if m < ORDER else p, c.select("ca", "cb", "gamma")))
     return out
 
 
@@ -217,7 +218,11 @@ class KneserNey:
     @classmethod
     def collect(cls, model: DataFrame) -> KneserNey:
         """The arrays of a model's table; 14 bytes an entry on their way through the driver."""
-        return cls(model.mapInArrow(_hash, "m tinyint, kind tinyint, key long, v float").toArrow())
+        rows = model.mapInArrow(_hash, "m tinyint, kind tinyint, key long, v float").toArrow()
+        out = cls(rows)
+        del rows
+        pa.default_memory_pool().release_unused()
+        return out
 
     @staticmethod
     def _find(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:

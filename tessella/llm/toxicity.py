@@ -198,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(given.value.pair_gaps(before, word, n))], ["key", "gap"])
 
     models = ClassModels(lower, pairs.mapInArrow(gaps, "key long, gap float").toArrow())
+    given.destroy()
     shared = spark.sparkContext.broadcast(Scorer(models))
 
     def evidence(batches):
@@ -207,6 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
                 yield pa.RecordBatch.from_arrays([pa.array(list(shared.value.models.evidence(b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])), pa.list_(pa.float64())), batch.column(1).slice(lo, hi - lo)], ["x", "toxic"])
 
     e = texts.where("curve").select("text", F.col("toxic").cast("long")).mapInArrow(evidence, "x array<double>, toxic long").toArrow()
+    shared.destroy()
     x, c = np.array(e.column("x").to_pylist()), e.column("toxic").to_numpy()
     if len(np.unique(c)) < 2:  # too few labels for a curve: a plain mean of the widths
         return Scorer(models, np.full(len(WIDTHS), 4.0 / len(WIDTHS)), -4.0)

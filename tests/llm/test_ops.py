@@ -867,3 +867,9 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(safe)
     check_packing(out, 2048)
+
+
+def test_no_plan_holds_all_orders(spark):
+    levels = ngram_perplexity.smooth(ngram_perplexity.count_ngrams(spark.createDataFrame([("abcde abd",), ("abcde",)], "text string")))
+    for p, _ in levels:
+        assert p._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 3  # its n-grams twice, the order below
